@@ -77,11 +77,11 @@ def live_dead_letters(spark, d):
 
 
 @query("live_watchlist", "R6 J3",
-       f"""WITH {sql.TICKS}, {sql.WATCHLISTS} SELECT CAST(event_id AS VARCHAR) AS event_id, symbol FROM ticks WHERE price > 400 AND symbol IN
+       f"""WITH {sql.TICKS}, {sql.WATCHLISTS} SELECT CAST(event_id AS VARCHAR) AS event_id, symbol FROM ticks WHERE price > 20 AND symbol IN
         (SELECT symbol FROM watchlist_symbols JOIN watchlists USING (watchlist_id) WHERE owner_id = 3)""")
 def live_watchlist(spark, d):
     watched = desk.watched_symbols(t.watchlists(spark, d), t.watchlist_symbols(spark, d), 3)
-    alerts = tick_stream(spark, d).filter("price > 400")
+    alerts = tick_stream(spark, d).filter("price > 20")
     return live.drain(live.watchlist_feed(alerts, watched).select("event_id", "symbol"), f"{workspace(spark)}/watch")
 
 

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapewatch.catalog import query, sql
-from tapewatch.catalog.scoring import SCORED_TICKS, scored_ticks
-from tapewatch.catalog.series_windows import BAR_FEATURES, TICK_FEATURES, rounded
+from tapewatch.catalog.scoring import FIXED_SCORE, SCORED_TICKS, fixed_forest, scored_ticks
+from tapewatch.catalog.series_windows import TICK_FEATURES, rounded
 from tapewatch.functions import scoring as sc
+from tapewatch.operators import features as ft
+from tapewatch.operators import forest as fo
 from tapewatch.operators import ordered as o
-from tapewatch.plans import jobs
-from tapewatch.schemas import FEATURES, PATTERNS
+from tapewatch.plans import jobs, registry
+from tapewatch.plans.registry import MarketModels
+from tapewatch.schemas import FEATURES
+from tapewatch.session import cut, workspace
+from tapewatch.sources import sinks
 from tapewatch.sources import tables as t
 
 SHOWN = ["return", "volume_ratio_20d", "volatility_20d", "rsi_14d", "macd"]
@@ -30,3 +35,83 @@ def worst_ticks(spark, d):
     top = o.newest(x, ["market"], ["score", "_last"], 10, rank="rank")
     return top.select("market", "symbol", "event_id", *rounded(SHOWN), F.size("_e").alias("n_signals"), "score",
                       sc.severity("score").alias("severity"), "rank")
+
+
+@query("prepared_market", "E1 S16 W27",
+       f"""WITH {TICK_FEATURES} SELECT event_id, market, symbol, {sql.rounded(['return', 'volume_ratio_20d', 'volatility_20d'])} FROM feats
+        WHERE "return" IS NOT NULL AND volume_ratio_20d IS NOT NULL AND volatility_20d IS NOT NULL""")
+def prepared_market(spark, d):
+    out = jobs.prepare_market_features(t.ticks(spark, d), order=["ts", "event_id"])
+    return out.select("event_id", "market", "symbol", *rounded(["return", "volume_ratio_20d", "volatility_20d"]))
+
+
+Z_SCORE = FIXED_SCORE.replace('"return"', "z_return").replace('"volatility_20d"', "z_volatility")
+
+
+@query("batch_detection", "M35 F16 J6 J8 P7 P10 P21 P22 F6",
+       f"""WITH {TICK_FEATURES}, kept AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS back FROM feats WHERE {sql.COMPLETE}),
+       b AS (SELECT symbol, CASE WHEN count(*) >= 20 THEN avg("return") END AS rm, CASE WHEN count(*) >= 20 THEN greatest(stddev_samp("return"), 1e-8) END AS rs,
+         CASE WHEN count(*) >= 20 THEN avg(volatility_20d) END AS vm, CASE WHEN count(*) >= 20 THEN greatest(stddev_samp(volatility_20d), 1e-8) END AS vs FROM kept WHERE back <= 60 GROUP BY symbol),
+       z AS (SELECT k.*, ("return" - rm) / rs AS z_return, (volatility_20d - vm) / vs AS z_volatility, rs IS NOT NULL AS has_baseline,
+         source = 'YFINANCE' AS low FROM kept k JOIN b USING (symbol)),
+       s AS (SELECT *, CASE WHEN market = 'CRYPTO' AND has_baseline THEN round({Z_SCORE}, 4) END AS score FROM z)
+       SELECT event_id, market, score AS anomaly_score, coalesce(score >= 0.86, FALSE) AS is_anomaly,
+        CASE WHEN market <> 'CRYPTO' AND low THEN 'model_unavailable' WHEN market <> 'CRYPTO' THEN 'no_model_high_confidence'
+         WHEN NOT has_baseline AND low THEN 'baseline_unavailable' WHEN NOT has_baseline THEN 'no_baseline_high_confidence' END AS coverage, {sql.rounded(['return'])} FROM s""")
+def batch_detection(spark, d):
+    x = t.ticks(spark, d)
+    f = ft.complete(ft.engineered_features(x))
+    models = [MarketModels("CRYPTO", forest=fixed_forest(), trained_at="fixed")]
+    out = jobs.detect_batch(x, models, cut(ft.trailing_baselines(f), "baselines"), order=["ts", "event_id"], threshold=0.86)
+    return out.select("event_id", "market", "anomaly_score", "is_anomaly", "coverage", *rounded(["return"]))
+
+
+def _trained(spark, d):
+    f = cut(ft.complete(ft.engineered_features(t.ticks(spark, d))), "features")
+    return jobs.train_market(f, "CRYPTO", "event_id", ["ts", "event_id"], trees=50)
+
+
+@query("zscored_training", "E2 E5 A1 A2 M1 M3 M4 U5 S15")
+def zscored_training(spark, d):
+    _, scored = _trained(spark, d)
+    paths = sinks.write_tables({"scored_days": scored}, workspace(spark))
+    return jobs.fairness_slice(spark.read.parquet(paths[0]))
+
+
+@query("weak_supervision", "E3 M11 M12 A23 S15")
+def weak_supervision(spark, d):
+    _, scored = _trained(spark, d)
+    _, _, stats = jobs.weak_supervision(scored, trees=10)
+    return stats
+
+
+@query("supervised_training", "E4 W25 M6 A16")
+def supervised_training(spark, d):
+    f = ft.complete(ft.engineered_features(t.ticks(spark, d)))
+    f = f.withColumns({"is_pump_and_dump": (F.col("volume_ratio_20d") > 1.6).cast("int"),
+                       "is_wash_trading": (F.col("return") > 2).cast("int")})
+    _, out = jobs.supervised(f, "event_id", ["ts", "event_id"], patterns_=["pump_and_dump", "wash_trading"], trees=10)
+    return out
+
+
+@query("stored_models", "M37 A31 J8")
+def stored_models(spark, d):
+    f = cut(ft.complete(ft.engineered_features(t.ticks(spark, d))), "features")
+    root = workspace(spark)
+    loaded = []
+    for market in ("CRYPTO", "US_EQUITY"):
+        rows = f.filter(F.col("market") == market)
+        forest = fo.fit_forest(rows, FEATURES, "event_id", trees=20)
+        registry.save(spark, MarketModels(market, forest=forest, baselines=ft.trailing_baselines(rows), trained_at="round"), root)
+        loaded.append(registry.load(spark, market, root))
+    counts = registry.all_baselines(loaded).groupBy("market").agg(F.count(F.lit(1)).alias("n_baselines"))
+    return registry.coverage(spark, loaded).drop("patterns").join(counts, "market")
+
+
+@query("scored_table_written", "S15",
+       f"WITH {SCORED_TICKS} SELECT market, symbol, count(*) AS n, round(avg(if_score), 9) AS mean_score FROM scored GROUP BY ALL")
+def scored_table_written(spark, d):
+    rows = scored_ticks(spark, d).select("market", "symbol", "event_id", "if_score")
+    path = sinks.write_tables({"scored": rows}, workspace(spark))[0]
+    back = spark.read.schema(rows.schema).parquet(path)
+    return back.groupBy("market", "symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("if_score"), 9).alias("mean_score"))

@@ -627,6 +627,8 @@ def event_signal(errors: DataFrame, event: tuple[int, int], baselines: Sequence[
 
 CHANGEPOINTS, WEEKLY, YEARLY = 25, 3, 10
 CHANGEPOINT_SCALES = (0.001, 0.05, 0.5)
+# A season is fitted only from this many days of training data on.
+WEEKLY_FROM_DAYS, YEARLY_FROM_DAYS = 14, 730
 
 
 def _trend_columns(t: np.ndarray, day: np.ndarray) -> np.ndarray:
@@ -664,15 +666,20 @@ def trend_season_forecast(split: DataFrame, value: str = "close", by: Sequence[s
     options = [float(s) for s in scales]
 
     @F.pandas_udf("array<struct<scale: double, beta: array<double>, n_changepoints: int>>")
-    def solve(flat_: pd.Series) -> pd.Series:
+    def solve(flat_: pd.Series, days_: pd.Series) -> pd.Series:
         out = []
-        for flat in flat_:
+        for flat, days in zip(flat_, days_):
             g = np.asarray(flat).reshape(width, width)
             a, b = g[1:, 1:], g[1:, 0]
             noise = 0.05 ** 2
             fits = []
             for tau in options:
                 ridge = np.full(TREND_WIDTH, noise / 100.0)
+                waves = 2 + CHANGEPOINTS
+                if days < WEEKLY_FROM_DAYS:
+                    ridge[waves:waves + 2 * WEEKLY] = 1e12
+                if days < YEARLY_FROM_DAYS:
+                    ridge[waves + 2 * WEEKLY:] = 1e12
                 ridge[0] = ridge[1] = noise / 25.0
                 ridge[2:2 + CHANGEPOINTS] = noise / tau ** 2
                 beta = np.linalg.solve(a + np.diag(ridge), b)
@@ -680,7 +687,8 @@ def trend_season_forecast(split: DataFrame, value: str = "close", by: Sequence[s
             out.append(fits)
         return pd.Series(out)
 
-    models = xx.select(*by, F.explode(solve("xx")).alias("_m")).select(*by, "_m.*")
+    xx = xx.join(span.select(*by, (F.col("_d1") - F.col("_d0")).alias("_days")), by)
+    models = xx.select(*by, F.explode(solve("xx", "_days")).alias("_m")).select(*by, "_m.*")
 
     @F.pandas_udf("double")
     def predict(t: pd.Series, dd: pd.Series, beta: pd.Series) -> pd.Series:

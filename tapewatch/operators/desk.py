@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapewatch.functions import scoring as sc
 from tapewatch.functions import text as tx
 from tapewatch.operators import ordered as o
+from tapewatch.session import cut
 
 SYSTEM_USER = 0
 CLOSED = ("CLOSED", "DISMISSED")
@@ -135,8 +136,8 @@ def correlated(links: DataFrame, anomalies: DataFrame, n: int = 5) -> DataFrame:
     the candidates are read by (signal, rank).
     """
     a = anomalies.select("anomaly_id", "primary_signal", (-F.unix_micros("detected_at")).alias("_age"))
-    ranked = o.numbered(a, ["primary_signal"], ["_age", "anomaly_id"], out="_rank").drop("_age")
-    known = links.join(ranked, "anomaly_id")
+    ranked = cut(o.numbered(a, ["primary_signal"], ["_age", "anomaly_id"], out="_rank").drop("_age"), "ranked")
+    known = cut(links.join(ranked, "anomaly_id"), "known")
     first = known.groupBy("case_id").agg(F.min_by("primary_signal", "anomaly_id").alias("primary_signal"))
     held = known.join(first, ["case_id", "primary_signal"])
     held = o.numbered(held, ["case_id"], ["_rank"], out="_i")

@@ -62,12 +62,12 @@ def engineered_features(df: DataFrame, *, by: Sequence[str] = BY, order: Sequenc
             "_loss": F.when(step < 0, -step).otherwise(0.0),
         })
         d = d.withColumn("_signed", F.signum(F.coalesce(F.col("return"), F.lit(0.0))) * volume)
-        gain = o.guarded(F.avg("_gain"), F.col("_gain"), w14, 2)
-        loss = o.guarded(F.avg("_loss"), F.col("_loss"), w14, 2)
+        seen = F.col("_pos") >= 2  # gains and losses are known on every row, zero on the first
+        gain, loss = F.when(seen, F.avg("_gain").over(w14)), F.when(seen, F.avg("_loss").over(w14))
         d = d.withColumns({
             "rolling_volume_mean": F.avg("volume").over(w20),
-            "rolling_volume_std": o.guarded(F.stddev_samp("volume"), volume, w20, 2),
-            "volatility_20d": o.guarded(F.stddev_samp("return"), F.col("return"), w20, 2) * math.sqrt(252),
+            "rolling_volume_std": F.stddev_samp("volume").over(w20),
+            "volatility_20d": F.stddev_samp("return").over(w20) * math.sqrt(252),
             "atr_14d": o.guarded(F.avg("true_range"), F.col("true_range"), w14, 2),
             "_g": gain, "_l": loss,
         })

@@ -86,6 +86,13 @@ def multivariate_sequences(df: DataFrame, values: Sequence[str], target: str, le
     return d.filter(F.size("window") == length).withColumn("target", F.col(target)).drop("_v")
 
 
+def _sliced(df: DataFrame, by: Sequence[str], order: Sequence[str], kw: dict) -> dict:
+    """Measures once for all passes of an operator; rows dropped on the way cannot make a slice larger."""
+    if kw.get("slicing", "measure") != "measure":
+        return {"slicing": kw["slicing"]}
+    return {"slicing": o.measure(df, list(by), list(order), kw.get("rows", o.SLICE_ROWS))}
+
+
 # --- screening ---------------------------------------------------------------
 
 def _corr(x: Column, y: Column) -> Column:
@@ -98,6 +105,7 @@ def _corr(x: Column, y: Column) -> Column:
 def stationarity_violations(df: DataFrame, value: str = "close", by: Sequence[str] = BY, order: Sequence[str] = ORDER, **kw) -> DataFrame:
     """Mean, std and lag-1 autocorrelation of both halves and three violation flags."""
     by = list(by)
+    kw = _sliced(df, by, order, kw)
     p = positioned(df.filter(F.col(value).isNotNull()), by, order, **kw)
     half = F.floor(F.col("_total") / 2)
 
@@ -280,6 +288,7 @@ def _centred(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 def fit_ar(df: DataFrame, value: str = "close", p: int = 1, by: Sequence[str] = BY, order: Sequence[str] = ORDER, **kw) -> DataFrame:
     """Ordinary least squares of y_t on an intercept and p lags: ``coefficients`` = [c, φ_1 … φ_p]."""
     by = list(by)
+    kw = _sliced(df, by, order, kw)
     d = recent(_centred(df, value, by), "_e", p + 1, "_r", by, order, **kw).filter(F.size("_r") == p + 1)
 
     def design(cols):
@@ -333,6 +342,7 @@ def adf(df: DataFrame, value: str = "close", by: Sequence[str] = BY, order: Sequ
     lag order allows: the common sums plus the few rows at the head of the series.
     """
     by = list(by)
+    kw = _sliced(df, by, order, kw)
     d = _centred(df, value, by)
     longest = d.agg(F.max("_n").alias("n")).first().n or 0
     k_max = _max_lag(longest)
@@ -398,6 +408,7 @@ def adf(df: DataFrame, value: str = "close", by: Sequence[str] = BY, order: Sequ
 def kpss(df: DataFrame, value: str = "close", by: Sequence[str] = BY, order: Sequence[str] = ORDER, **kw) -> DataFrame:
     """KPSS level test with data-driven lag; stationary when p ≥ .05 (its null hypothesis)."""
     by = list(by)
+    kw = _sliced(df, by, order, kw)
     d = _centred(df, value, by).select(*by, *order, "_e", "_n")
     longest = d.agg(F.max("_n").alias("n")).first().n or 1
     first = max(1, int(longest ** (2.0 / 9.0)))
@@ -415,11 +426,8 @@ def kpss(df: DataFrame, value: str = "close", by: Sequence[str] = BY, order: Seq
     n = F.col("n").cast("double")
     long_run = F.col("_s0") + sum((F.when(F.lit(k) <= F.col("lags"), 2 * (1 - k / (F.col("lags") + 1)) * F.coalesce(f"_s{k}", F.lit(0.0)))
                                    .otherwise(0.0) for k in range(1, top + 1)), F.lit(0.0))
-    slicing = kw.get("slicing", "measure")
-    if slicing == "measure":
-        slicing = o.measure(d, by, order, kw.get("rows", o.SLICE_ROWS))
-    placed = o.framed(d, by, order, lambda x, a, b: x, back=1, slicing=slicing)
-    run = o.running_sum(placed, by, order, {"_run": F.col("_e")}, slicing)
+    placed = o.framed(d, by, order, lambda x, a, b: x, back=1, **kw)
+    run = o.running_sum(placed, by, order, {"_run": F.col("_e")}, kw["slicing"])
     partial = run.groupBy(*by).agg(F.sum(F.col("_run") * F.col("_run")).alias("_eta"))
     j = wide.join(partial, by)
     statistic = F.try_divide(F.col("_eta") / (n * n), F.nullif(long_run / n, F.lit(0.0)))
@@ -442,6 +450,7 @@ def verdict(adf_stationary: Column, kpss_stationary: Column) -> Column:
 
 def combined_verdict(df: DataFrame, value: str = "close", by: Sequence[str] = BY, order: Sequence[str] = ORDER, **kw) -> DataFrame:
     by = list(by)
+    kw = _sliced(df, by, order, kw)
     a = adf(df, value, by, order, **kw).select(*by, F.col("p_value").alias("adf_p"), F.col("is_stationary").alias("_a"))
     k = kpss(df, value, by, order, **kw).select(*by, F.col("p_value").alias("kpss_p"), F.col("is_stationary").alias("_k"))
     return a.join(k, by).select(*by, "adf_p", "kpss_p", verdict(F.col("_a"), F.col("_k")).alias("verdict"))
@@ -450,6 +459,7 @@ def combined_verdict(df: DataFrame, value: str = "close", by: Sequence[str] = BY
 def recommended_difference(df: DataFrame, value: str = "close", by: Sequence[str] = BY, order: Sequence[str] = ORDER, **kw) -> DataFrame:
     """Smallest d in 0, 1 whose ADF test is stationary, else 2."""
     by = list(by)
+    kw = _sliced(df, by, order, kw)
     d0 = adf(df, value, by, order, **kw).select(*by, F.col("is_stationary").alias("_0"))
     d1 = adf(differenced(df, value, 1, by, order, **kw), value, by, order, **kw).select(*by, F.col("is_stationary").alias("_1"))
     return d0.join(d1, by).select(*by, F.when(F.col("_0"), 0).when(F.col("_1"), 1).otherwise(2).alias("d"))
@@ -521,6 +531,7 @@ def grid_search(df: DataFrame, p_range: Sequence[int], d_range: Sequence[int], q
     All (p, q) of one d are solved from the same cross products, so the data is read once per d.
     """
     by, lags = list(by), max(1, *p_range, *q_range)
+    kw = _sliced(df, by, order, kw)
     out = None
     for d in d_range:
         xx, _ = _arma_products(df, value, d, lags, by, order, **kw)
@@ -556,6 +567,7 @@ def arima_forecast(train: DataFrame, horizon: int, arma: tuple[int, int, int] =
                    by: Sequence[str] = BY, order: Sequence[str] = ORDER, **kw) -> DataFrame:
     """Per series and step: forecast and 95 % interval."""
     by = list(by)
+    kw = _sliced(train, by, order, kw)
     p, d, q = arma
     lags = max(1, p, q)
     if d > 2:

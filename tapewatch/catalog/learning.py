@@ -68,7 +68,8 @@ def pattern_flags(spark, d):
 @query("weak_label_training", "M12 M13 E3")
 def weak_label_training(spark, d):
     w = cut(weak_ticks(spark, d), "weak")
-    det, marked = patterns.fit_on_weak_labels(w, estimator=patterns.default_estimator(trees=20))
+    # a lower cut-off than the default keeps positives of several patterns on small tables
+    det, marked = patterns.fit_on_weak_labels(w, cutoff=0.15, estimator=patterns.default_estimator(trees=20))
     scored = cut(with_truth(det.predict_proba(marked)), "proba")
     ps = list(det.models)
     return metrics.auc(patterns.detector_rows(scored, ps), ["pattern"])

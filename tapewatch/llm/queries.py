@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tapewatch.llm import mixing, quality
 from tapewatch.llm.jaccard import jaccard_join
 
 
@@ -17,15 +19,28 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), words=3, threshold=(9, 10))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard_join": op1_jaccard_join}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(_table(spark, sf_dir, "documents"))
+    return rows.withColumns({"base_failed": ~quality.passes("base"), "kept": quality.passes("v1")})
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op4_quality_rules": op4_quality_rules,
+    "op10_mix_sources": op10_mix_sources,
+}
 
 SQL: dict[str, str] = {"op1_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+'), x -> x <> '') AS l FROM documents),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
-    ELSE list_transform(range(1, len(l) - 1), i -> l[i] || ' ' || l[i + 1] || ' ' || l[i + 2]) END) AS g FROM w),
+    ELSE list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2]) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
@@ -33,4 +48,39 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles,
   (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links, min(r.b) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+""", "op4_quality_rules": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(l) - 1)) AS i, unnest(list_transform(range(1, len(l) - 1), lambda i: [l[i], l[i + 1], l[i + 2]])) AS g FROM w),
+d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM d WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(l)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines)::BIGINT AS n_lines,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS n_upper, length(regexp_replace(t, '\P{L}+', '', 'g')) AS n_letters
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+  + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (2 * n_upper > n_letters)::BIGINT + 32 * (10 * n_letters < 6 * word_chars)::BIGINT
+  + 64 * (word_chars < 3 * n_words)::BIGINT + 128 * (word_chars > 12 * n_words)::BIGINT AS failures FROM m)
+SELECT *, failures & 3 <> 0 AS base_failed, failures & 31 = 0 AS kept FROM f
+""", "op10_mix_sources": r"""
+WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+b AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s FROM z GROUP BY source),
+c AS (SELECT *, [5.0, 2.0, 1.0][1 + s % 3]::DOUBLE AS w, (3 * source_size)::DOUBLE AS most FROM b),
+l AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(most) OVER before, 0))
+  / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level FROM c
+  WINDOW before AS (ORDER BY most / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT arg_min(level, (most / w, s)) AS level FROM l WHERE level <= most / w),
+g AS (SELECT source, source_size, least(most, v.level * w) AS target FROM l, v),
+t AS (SELECT *, least(round(target)::BIGINT, 3 * source_size) AS take FROM g),
+n AS (SELECT greatest(1, ceil(count(*) / 10000.0)::BIGINT) AS chunks FROM z),
+o AS (SELECT z.*, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS digest FROM z),
+p AS (SELECT o.*, ('0x' || digest[1:8])::BIGINT % n.chunks AS chunk FROM o, n),
+q AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY chunk, digest, doc_id, size
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p)
+SELECT q.doc_id, q.source, q.size, t.source_size, t.target,
+  CASE WHEN q.size = 0 THEN 0 ELSE (take // source_size) * size
+    + greatest(0, least(start + size, take % source_size) - least(start, take % source_size)) END::BIGINT AS taken
+FROM q JOIN t ON t.source IS NOT DISTINCT FROM q.source
 """}

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import mixing, quality
+import public_tokenizers
+from tapewatch.llm import mixing, packing, pii, quality, token_files
 from tapewatch.llm.jaccard import jaccard_join
+from tapewatch.session import workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"base_failed": ~quality.passes("base"), "kept": quality.passes("v1")})
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    parts = packing.pieces(_table(spark, sf_dir, "documents"), path, drops_space=True, end_id=0, capacity=2048)
+    return packing.pack(parts.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), 2048)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{workspace(spark)}/tokens"
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), drops_space=False, end_id=2)
+    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.replace_entities(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("replaced", lambda k, t=t: k == t)).cast("long").alias(f"n_{t}") for t in pii.TYPES]
+    return rows.select("doc_id", "text", F.size("replaced").cast("long").alias("n_replaced"), *counts)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +51,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_token_files": op6_token_files,
+    "op7_surrogates": op7_surrogates,
     "op10_mix_sources": op10_mix_sources,
 }
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tapewatch.llm import mixing, packing, pii, quality, token_files
+from tapewatch.llm import mixing, packing, pii, quality, token_files, warc
+from tapewatch.llm.html import extract_main_text
 from tapewatch.llm.jaccard import jaccard_join
+from tapewatch.llm.substrings import remove_repeated
 from tapewatch.session import workspace
 
 
@@ -21,6 +23,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), words=3, threshold=(9, 10))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract_main_text(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(_table(spark, sf_dir, "documents"))
     return rows.withColumns({"base_failed": ~quality.passes("base"), "kept": quality.passes("v1")})
@@ -44,16 +51,36 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", F.size("replaced").cast("long").alias("n_replaced"), *counts)
 
 
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeated(_table(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x.stop - x.start)
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives the pages twice; in the second replica one page in 256, chosen by md5 of its id, loses its first
+    character, and the audit has to find these records and no others."""
+    pages, folder = _table(spark, sf_dir, "pages"), workspace(spark)
+    hit = F.substring(F.md5(F.concat(F.lit("decay:"), F.col("page_id").cast("string"))), 1, 2) == "00"
+    warc.write_warc(pages, f"{folder}/one")
+    warc.write_warc(pages.withColumn("html", F.when(hit, F.substring("html", 2, 1 << 30)).otherwise(F.col("html"))), f"{folder}/two")
+    rows = warc.audit_folders(spark, f"{folder}/one", f"{folder}/two")
+    return rows.select("page_id", "url", F.col("payload_size").alias("n_bytes"), "payload_sha256", "status")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op3_main_text": op3_main_text,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_files": op6_token_files,
     "op7_surrogates": op7_surrogates,
+    "op8_repeated_substrings": op8_repeated_substrings,
+    "op9_fixity_audit": op9_fixity_audit,
     "op10_mix_sources": op10_mix_sources,
 }
 
@@ -87,6 +114,9 @@ f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_word
   + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (2 * n_upper > n_letters)::BIGINT + 32 * (10 * n_letters < 6 * word_chars)::BIGINT
   + 64 * (word_chars < 3 * n_words)::BIGINT + 128 * (word_chars > 12 * n_words)::BIGINT AS failures FROM m)
 SELECT *, failures & 3 <> 0 AS base_failed, failures & 31 = 0 AS kept FROM f
+""", "op9_fixity_audit": r"""
+SELECT page_id, url, strlen(coalesce(html, '')) AS n_bytes, sha256(coalesce(html, '')) AS payload_sha256,
+  CASE WHEN coalesce(html, '') <> '' AND md5('decay:' || page_id)[1:2] = '00' THEN 'changed' ELSE 'intact' END AS status FROM pages
 """, "op10_mix_sources": r"""
 WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 b AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s FROM z GROUP BY source),

@@ -132,4 +132,6 @@ def keep_passing(docs: DataFrame, policy: str = "v1", id_col: str = "doc_id", te
     bad = failed[0]
     for f in failed[1:]:
         bad = bad | f
-    return _measure(rows, "ledger_text").filter(~bad).select("whole_row.*")
+    # a generator, since a filter would be pushed below the measurements and compute each of them once more
+    kept = F.explode(F.when(~bad, F.array("whole_row"))).alias("whole_row")
+    return _measure(rows, "ledger_text").select(kept).select("whole_row.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tapewatch.llm import mixing, packing, pii, quality, token_files, warc
+from tapewatch.llm.graphs import near_vectors
 from tapewatch.llm.html import extract_main_text
 from tapewatch.llm.jaccard import jaccard_join
 from tapewatch.llm.substrings import remove_repeated
@@ -23,6 +24,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), words=3, threshold=(9, 10))
 
 
+def op2_graph_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extract_main_text(_table(spark, sf_dir, "pages"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
@@ -74,6 +79,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_graph_near_dedup": op2_graph_near_dedup,
     "op3_main_text": op3_main_text,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -98,6 +104,13 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles,
   (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links, min(r.b) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+""", "op2_graph_near_dedup": r"""
+WITH RECURSIVE e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT v.vec_id, (SELECT count(*) FROM e WHERE e.a = v.vec_id) AS n_links, min(r.b) AS component_id, min(r.b) = v.vec_id AS kept
+FROM embeddings v JOIN r ON r.a = v.vec_id GROUP BY v.vec_id
 """, "op4_quality_rules": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l,

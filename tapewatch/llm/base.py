@@ -101,6 +101,32 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = SEGMENT)
             at = to
 
 
+#: Bits of a membership filter: 1 MiB, whatever the size of the table that it stands for.
+FILTER_BITS = 1 << 23
+
+
+def only_members(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't in ``keys``, to be done before a join that shuffles wide rows.
+
+    The filter has a fixed size: a bit for each hash value. The more keys there are, the more other rows pass;
+    no row that has a partner is lost.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    words = (keys.select(bit.alias("bit")).groupBy(F.expr("bit div 32").alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).collect())  # FILTER_BITS / 32 rows at most
+    table = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    table[[r["word"] for r in words]] = np.array([r["bits"] for r in words], dtype=np.uint64).astype(np.uint32)
+    raw, last = table.tobytes(), len(rows.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            there = batch.filter(pa.array(own[batch.column(last).to_numpy()]))
+            yield there.select(range(last))
+
+    return rows.withColumn("filter_bit", bit).mapInArrow(run, rows.schema)
+
+
 def smallest_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For links between the places 0..n-1, the smallest place that each one reaches."""
     label = np.arange(n)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.base import byte_views, components, mix, pieces, shingle_sets, smallest_reachable
+from tapewatch.llm.base import byte_views, components, mix, only_members, pieces, shingle_sets, smallest_reachable
 from tapewatch.session import cut
 
 #: Largest load of a cell that one task joins: shingles, and as many again as ROW for each document.
@@ -330,7 +330,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = posts.repartition("key").mapInArrow(_shared, "a long, b long").distinct()
     regions = components(near)
     chosen = cut(regions.withColumnRenamed("node", "print").join(classes, "print"), "chosen")
-    texts = rows.join(chosen.withColumnRenamed("low", "id"), "id").select("print", "text", F.col("label").alias("cell"), "copies")
+    chosen = chosen.withColumnRenamed("low", "id")
+    texts = only_members(rows.filter("id is not null"), chosen, "id").join(chosen, "id").select("print", "text", F.col("label").alias("cell"), "copies")
     cells = cut(texts.mapInArrow(_sets(words), _CELLS), "cells")
     cells = _split(cells, num, den, cell_load)
     joined = (cells.repartition("cell").sortWithinPartitions("cell")

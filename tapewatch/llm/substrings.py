@@ -327,8 +327,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(rows.groupBy("print").agg(F.count("*").alias("copies"), F.min("id").alias("low")), "classes")
     found = rows.filter(F.octet_length("text") >= length).select("print", "text")
     found = cut(found.mapInArrow(_anchors(length), "key long, print long, place int, near short, far short"), "anchors")
-    spot = F.struct("print", "place", "near")
+    spot = F.xxhash64("print", "place", "near")
     again = found.groupBy("key").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a <> b").select("key")
+    again = cut(again, "again")  # so that the join with a hot key can be split
     hits = found.join(again, "key", "left_semi").groupBy("print").agg(F.collect_set(F.struct("key", "place", "near", "far")).alias("found"))
     one = rows.join(hits.join(classes, "print"), "print").filter(F.col("id").eqNullSafe(F.col("low"))).select("print", "text", "found")
     contexts = cut(one.mapInArrow(_contexts(length), _CONTEXT), "contexts")

@@ -14,14 +14,45 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Chunks and ids that are kept at most before the table starts anew.
-KEPT_CHUNKS, KEPT_IDS = 400_000, 4_000_000
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_WITH_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Chunks and ids that are kept at most; beyond, those that came only once since the last time go.
+KEPT_CHUNKS, KEPT_IDS = 600_000, 6_000_000
+_OTHER_SPACE = re.compile(r"[^\S \n]|\x00")
+_WITH_SPACE = re.compile(r"[ \n]*[^ \n\x00]+|[ \n]+")
+#: The place between a letter and a mark that ends its chunk: tokenizers that part letters from marks part here.
+_MARK = re.compile(r"(?<=[A-Za-z\u00e0-\u00f6\u00f8-\u00ff])(?=[.,](?:[ \n]|\Z))")
+
+
+#: Chunks that are one word of Latin letters, as both kinds of tokenizers leave them.
+_WORD = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_SPACED_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level models see a byte as itself where Latin-1 prints it, else as a letter from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Places(dict):
+    """Numbers chunks in the order in which they are first asked for."""
+
+    def __init__(self, names: list[str]) -> None:
+        super().__init__(zip(names, range(len(names))))
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
 
 
 class Encoder:
-    """``drops_space``: the tokenizer has no tokens for white space; else a chunk has the white space in front of it."""
+    """``drops_space``: the tokenizer has no tokens for white space and ignores the case of ASCII letters; else a chunk has
+    the white space in front of it."""
 
     def __init__(self, path: str, drops_space: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -29,43 +60,71 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = drops_space
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.word = _WORD if drops_space else _SPACED_WORD
+        probe = ["the", "of", "tokenizer", "q", "zzxxqy", "internationalisation", "ouneauxtion", "a" * 40, "straße", "éàü", "ñandú", "ÿø"]
+        probe += [] if drops_space else [f" {w.title()}" for w in probe]
+        self.plain = all(self._ids([w]) == [self._word_ids(w)] for w in probe)
+        self.place = _Places([])
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = np.zeros(1 << 12, dtype=np.int64)  # ends[k + 1]: end of the k-th chunk's ids
+        self.hits = np.zeros(1 << 12, dtype=np.int64)
+
+    def _ids(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _word_ids(self, word: str) -> list[int]:
+        """A word's ids by the library's model alone, without the steps in front of it that leave a word whole."""
+        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_LETTERS))]
 
-    def _add(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _add(self) -> None:
+        """Encodes the chunks that were asked for first just now."""
+        chunks, self.place.new = self.place.new, []
+        words = [self.plain and self.word.fullmatch(c) is not None for c in chunks]
+        others = iter(self._ids([c for c, w in zip(chunks, words) if not w]))
+        found = [self._word_ids(c) if w else next(others) for c, w in zip(chunks, words)]
         sizes = np.array([len(x) for x in found], dtype=np.int64)
-        at, n = int(self.ends[len(self.place)]), len(self.place)
+        n = len(self.place) - len(chunks)
+        at = int(self.ends[n])
         while len(self.ids) < at + sizes.sum():
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.ends) < n + len(chunks) + 1:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         self.ids[at:at + sizes.sum()] = [i for x in found for i in x]
         self.ends[n + 1:n + 1 + len(chunks)] = at + np.cumsum(sizes)
-        self.place.update(zip(chunks, range(n, n + len(chunks))))
+        self.hits[n:n + len(chunks)] = 0
+
+    def _shrink(self) -> None:
+        n = len(self.place)
+        keep = self.hits[:n] > 1
+        if keep.sum() > KEPT_CHUNKS // 2 or self.ends[n] > KEPT_IDS * 2:
+            keep[:] = False
+        sizes = np.diff(self.ends[:n + 1])
+        self.ids[:sizes[keep].sum()] = self.ids[:self.ends[n]][np.repeat(keep, sizes)]
+        names = [c for c, k in zip(self.place, keep.tolist()) if k]
+        self.place = _Places(names)
+        self.ends[0] = 0
+        self.ends[1:len(names) + 1] = np.cumsum(sizes[keep])
+        self.hits[:len(names)] = 0
 
     def _chunks(self, text: str) -> list[str]:
-        if _OTHER_SPACE.search(text):
+        if _OTHER_SPACE.search(text) or any(t in text for t in self.special):
             return [text]
         if self.drops_space:
-            return [x for x in text.replace("\n", " ").split(" ") if x]
-        return _WITH_SPACE.findall(text)
+            return [x for x in _MARK.sub(" ", text.encode().lower().decode()).replace("\n", " ").split(" ") if x]
+        return _WITH_SPACE.findall(_MARK.sub("\x00", text))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the n + 1 borders; a null text is empty."""
         parts = [self._chunks(t or "") for t in texts]
         chunks = [c for p in parts for c in p]
-        names = set(chunks)
-        if len(self.place) + len(names) > KEPT_CHUNKS or self.ends[len(self.place)] > KEPT_IDS:
-            self._clear()
-        new = [c for c in names if c not in self.place]
-        if new:
-            self._add(new)
+        if len(self.place) > KEPT_CHUNKS or self.ends[len(self.place)] > KEPT_IDS:
+            self._shrink()
         at = np.fromiter(map(self.place.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        if self.place.new:
+            self._add()
+        self.hits[:len(self.place)] += np.bincount(at, minlength=len(self.place))
         starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]

@@ -122,7 +122,7 @@ def _name(kind: Column, x: Column, digest: Column) -> Column:
     def ends(table: dict[str, tuple[str, ...]]) -> Column:
         chosen = F.lit(None).cast("string")
         for name, choice in table.items():
-            chosen = F.when(kind.endswith(name), " ".join(choice)).otherwise(chosen)
+            chosen = F.when(kind == f"name_{name}", " ".join(choice)).otherwise(chosen)
         return chosen
 
     cyrillic = x.rlike(r"\p{IsCyrillic}")

@@ -316,7 +316,7 @@ def test_repeated_substrings_of_odd_rows(spark):
 def test_fixity_audit(spark):
     pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"),
                                     F.concat(F.lit("<p>\r\n\r\nWARC "), F.repeat(F.col("id").cast("string"), 30)).alias("html")).withColumn("size", F.lit("clash"))
-    odd_rows = spark.createDataFrame([(None, None, None, "x"), (7, "u\nv", "", "x"), (7, "u\nv", "", "x")], pages.schema)
+    odd_rows = spark.createDataFrame([(None, None, None, "x"), (7, "u\nv", "", "x"), (7, "u\nv", "", "x")], "page_id long, url string, html string, size string")
     pages = pages.unionAll(odd_rows).coalesce(3)
     folder = workspace(spark)
     bad = F.col("page_id").isin(3, 250)

@@ -1 +1 @@
-"""Market-surveillance analytics as Spark DataFrame operators."""
+"""Trade-abuse analytics as Spark DataFrame operators."""

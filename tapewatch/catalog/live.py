@@ -50,11 +50,9 @@ def _detected(spark, d):
 
 @query("live_alerts", "E7 R2 R5 S12 S13 P7 P10 J8",
        f"""WITH {LIVE_SCORED}, a AS (SELECT CAST(event_id AS VARCHAR) AS event_id, symbol, timestamp_ms, score AS anomaly_score,
-         CASE WHEN score >= 0.85 THEN 'CRITICAL' WHEN score >= 0.65 THEN 'HIGH' WHEN score >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS severity, NULL AS coverage
-         FROM scored WHERE score >= 0.86),
-       n AS (SELECT CAST(event_id AS VARCHAR) AS event_id, symbol, timestamp_ms, CAST(NULL AS DOUBLE), NULL,
-         CASE WHEN source = 'YFINANCE' THEN 'model_unavailable' ELSE 'no_model_high_confidence' END FROM feats WHERE pos >= 20 AND {sql.COMPLETE} AND market <> 'CRYPTO')
-       SELECT * FROM a UNION ALL SELECT * FROM n""")
+         CASE WHEN score >= 0.85 THEN 'CRITICAL' WHEN score >= 0.65 THEN 'HIGH' WHEN score >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CAST(NULL AS VARCHAR) AS coverage
+         FROM scored WHERE score >= 0.86)
+       SELECT * FROM a""")
 def live_alerts(spark, d):
     return spark.read.parquet(f"{_detected(spark, d)}/alerts").select("event_id", "symbol", "timestamp_ms", "anomaly_score", "severity", "coverage")
 

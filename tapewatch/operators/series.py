@@ -179,7 +179,7 @@ def acf_pacf(df: DataFrame, value: str = "close", lags: int = 20, by: Sequence[s
 def cutoff_lag(values: str, band: Column, settle: int = 4) -> Column:
     """First lag from which ``settle`` lags in a row stay inside the band; the length if none does."""
     v = F.col(values)
-    starts = F.sequence(F.lit(1), F.size(v) - settle)
+    starts = F.when(F.size(v) > settle, F.sequence(F.lit(1), F.greatest(F.size(v) - settle, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     quiet = F.filter(starts, lambda i: F.forall(F.slice(v, i + 1, settle), lambda x: F.abs(x) < band))
     return F.coalesce(F.get(quiet, 0), F.size(v))
 

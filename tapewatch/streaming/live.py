@@ -175,13 +175,12 @@ def persist_and_publish(root: str) -> Callable[[DataFrame, int], None]:
 
     def handle(alerts: DataFrame, batch_id: int) -> None:
         spark = alerts.sparkSession
-        rows = alerts.withColumn("day", F.date_format(F.timestamp_millis("timestamp_ms"), "yyyy-MM-dd"))
-        days = [r.day for r in rows.select("day").distinct().limit(10000).collect()]
+        rows = alerts.filter("anomaly_score IS NOT NULL").withColumn("day", F.date_format(F.timestamp_millis("timestamp_ms"), "yyyy-MM-dd"))
+        days = [r.day for r in rows.select("day").distinct().collect()]
         if not days:
             return
         price = F.col("price")
-        scored = rows.filter(F.col("anomaly_score").isNotNull())
-        bars = scored.groupBy(*KEY).agg(F.min_by(F.struct("event_id", "market", "price", "volume", "anomaly_score", "severity", "day"), "event_id").alias("_r"))
+        bars = rows.groupBy(*KEY).agg(F.min_by(F.struct("event_id", "market", "price", "volume", "anomaly_score", "severity", "day"), "event_id").alias("_r"))
         bars = bars.select(*KEY, "_r.*").select(*KEY, "event_id", "market", price.alias("open"), price.alias("high"), price.alias("low"),
                                                price.alias("close"), "volume", "anomaly_score", "severity", "day")
         schema = T.StructType([f for f in bars.schema.fields if f.name != "day"])
@@ -197,7 +196,9 @@ def persist_and_publish(root: str) -> Callable[[DataFrame, int], None]:
 
 def score_batch(models: list[MarketModels], baselines: DataFrame | None, sentiment: DataFrame | None, sink: Callable[[DataFrame, int], None],
                 threshold: float = 0.7) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch: history gate, latest sentiment, scoring, then only alerts and coverage notices go on."""
+    """Per micro-batch: history gate, latest sentiment, scoring; only scored rows over the threshold go on.
+
+    Rows that no model could score carry a coverage code; they are neither stored nor published."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # one scan of the state output feeds several branches
@@ -210,7 +211,7 @@ def score_batch(models: list[MarketModels], baselines: DataFrame | None, sentime
             if sentiment is not None:
                 rows = joins.latest_value(rows, sentiment, ["symbol"], "ts", "sentiment_score", "sentiment")
             scored = jobs.score_rows(rows, models, baselines, threshold)
-            sink(scored.filter("is_anomaly OR coverage IS NOT NULL"), batch_id)
+            sink(scored.filter("is_anomaly"), batch_id)
         finally:
             batch.unpersist()
 

@@ -156,8 +156,7 @@ def links_not_visible(spark, d):
          WHEN r >= -0.4 THEN 'weak_negative' ELSE 'negative' END AS band FROM c""")
 def correlation_matrix(spark, d):
     x = t.ticks(spark, d)
-    symbols = [r.symbol for r in x.select("symbol").distinct().limit(joins.MATRIX_SYMBOLS + 1).collect()]
-    m = joins.correlation_matrix(x, symbols, limit=60, order=["ts", "event_id"])
+    m = joins.correlation_matrix(x, x.select("symbol"), limit=60, order=["ts", "event_id"])
     m = m.withColumn("r", F.round(F.col("r") + 0.0000037, 3))
     return m.withColumn("band", sc.correlation_band("r"))
 

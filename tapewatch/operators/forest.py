@@ -72,25 +72,27 @@ def _grow(x: np.ndarray, max_depth: int, rng: np.random.Generator) -> list[tuple
     return rows
 
 
-POOL_FACTOR = 4
+HASHES = 1 << 40
 
 
 def fit_forest(df: DataFrame, features: Sequence[str], key: str, *, trees: int = 100, sample: int = 256,
                seed: int = 42) -> Forest:
-    """``sample`` rows without replacement per tree, chosen by a hash of the row key.
+    """``sample`` rows without replacement per tree, chosen by a hash of the tree and the row key.
 
-    The rows with the smallest hashes form a pool of a few samples' size, so the data is scanned once
-    and the choice does not depend on partitioning. Trees grow in parallel, each from its own sample.
+    Every row can be drawn by every tree. A tree first takes the rows under a share of its hashes that should give
+    three samples and 200 rows (fewer than a sample come out with a chance under e^-100), then the smallest hashes.
+    So only drawn rows are shuffled, and the choice does not depend on partitioning. Trees grow in parallel.
     """
     features = list(features)
     refuse_identity(features)
     x = F.array(*[F.col(f).cast("double") for f in features])
-    hashed = df.dropna(subset=features).select(
-        F.col(key).cast("string").alias("_key"), x.alias("x"),
-        F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("_h"))
-    pool = hashed.orderBy("_h", "_key").limit(max(sample * POOL_FACTOR, trees * sample // POOL_FACTOR))
-    drawn = pool.select("_key", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"))
-    pick = Window.partitionBy("tree_id").orderBy(F.xxhash64(F.lit(seed), "tree_id", "_key"), "_key")
+    kept = df.dropna(subset=features).select(F.col(key).cast("string").alias("_key"), x.alias("x"))
+    below = int(min(1.0, (3 * sample + 200) / max(kept.count(), 1)) * HASHES)
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                    lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("_key")), F.lit(HASHES)) < F.lit(below))
+    drawn = kept.select("_key", "x", F.explode(mine).alias("tree_id"))
+    place = F.pmod(F.xxhash64(F.lit(seed), "tree_id", "_key"), F.lit(HASHES))
+    pick = Window.partitionBy("tree_id").orderBy(place, "_key")
     drawn = drawn.withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -119,10 +119,14 @@ class PatternDetector:
     models: dict[str, object]
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
-        out = VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="skip").transform(df)
+        """Adds a probability per pattern; null where a feature is null."""
+        out = VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="keep").transform(df)
+        known = F.lit(True)
+        for f in self.features:
+            known = known & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
         for p, m in self.models.items():
             scored = m.transform(out)
-            out = scored.select(*[c for c in out.columns], vector_to_array("_prob")[1].alias(f"proba_{p}"))
+            out = scored.select(*[c for c in out.columns], F.when(known, vector_to_array("_prob")[1]).alias(f"proba_{p}"))
         return out.drop("_x")
 
     def predict(self, df: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
@@ -155,6 +159,7 @@ def fit_patterns(df: DataFrame, features: Sequence[str] = tuple(FEATURES), patte
     missing = [p for p in patterns if f"is_{p}" not in df.columns]
     if missing:
         raise ValueError(f"no label column for {missing}")
+    df = df.dropna(subset=list(features))
     counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"is_{p}").cast("bigint")).alias(p) for p in patterns]).first()
     empty = [p for p in patterns if not counts[p]]
     if empty and not drop_empty:

@@ -15,8 +15,6 @@ from tapewatch.schemas import FEATURES, PATTERNS, ZSCORED
 from tapewatch.session import cut
 from tapewatch.sources.validate import require_columns
 
-BROADCAST_BASELINES = 1_000_000
-
 
 def prepare_market_features(series: DataFrame, order: Sequence[str] = ("ts",), **kw) -> DataFrame:
     """Features of every symbol of every market in one pass, warm-up rows dropped."""
@@ -83,9 +81,8 @@ def fairness_slice(scored: DataFrame, flag: str = "if_flag", score: str = "if_sc
 
 
 def with_baseline(df: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Joins the stored baselines; broadcast only after their row count is checked."""
-    small = baselines.limit(BROADCAST_BASELINES + 1).count() <= BROADCAST_BASELINES
-    return df.join(F.broadcast(baselines) if small else baselines, ["market", "symbol"], "left")
+    """Joins the stored baselines; Spark broadcasts them where their size in bytes allows it."""
+    return df.join(baselines, ["market", "symbol"], "left")
 
 
 def normalised(df: DataFrame, baselines: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,19 @@ def test_correlation(spark):
         joins.correlation_matrix(bars, ["UP", "SHORT"])
 
 
+def test_correlation_of_many_symbols(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK_SYMBOLS", 7)
+    rng = np.random.default_rng(3)
+    close = {f"S{k}": rng.normal(size=3 + k % 4) for k in range(40)}
+    bars = spark.createDataFrame([(s, AT + dt.timedelta(days=i), float(v)) for s, x in close.items() for i, v in enumerate(x)],
+                                 "symbol STRING, ts TIMESTAMP, close DOUBLE")
+    got = {(r.symbol_a, r.symbol_b): (r.n, r.r) for r in joins.correlation_matrix(bars, bars.select("symbol")).collect()}
+    assert len(got) == 1600
+    for a, b in got:
+        n = min(len(close[a]), len(close[b]))
+        assert got[a, b][0] == n and abs(got[a, b][1] - np.corrcoef(close[a][-n:], close[b][-n:])[0, 1]) < 1e-4
+
+
 def test_notices_are_throttled(spark):
     rows = [("a", AT + dt.timedelta(seconds=s)) for s in (0, 100, 300, 301, 500, 602, 2000)]
     df = spark.createDataFrame(rows, "market STRING, ts TIMESTAMP")

@@ -87,6 +87,16 @@ def test_asof_sliced(ticks):
         same(run({"slicing": None}), run({"rows": 300}), ["event_id"])
 
 
+def test_asof_ties_do_not_depend_on_partitions(spark):
+    left = spark.createDataFrame([("a", START + dt.timedelta(seconds=5))], "symbol STRING, ts TIMESTAMP")
+    right = spark.createDataFrame([("a", START, i, float(1000 - i)) for i in range(1000)], "symbol STRING, ts TIMESTAMP, id INT, close DOUBLE")
+    for parts in (1, 3, 7):
+        for s in ({"slicing": None}, {"rows": 100}):
+            rows = right.repartition(parts)
+            assert joins.asof(left, rows, ["symbol"], "ts", "close", "f", tie=["id"], **s).first().f.value == 1.0
+            assert joins.asof(left, rows, ["symbol"], "ts", "close", "f", **s).first().f.value == 1000.0
+
+
 def test_failover_by_hand(spark):
     rows = [(1, 0, "B"), (2, 10, "P"), (3, 35, "B"), (4, 41, "B"), (5, 41, "P"), (6, 71, "B"), (7, 72, "B")]
     df = spark.createDataFrame([(i, START + dt.timedelta(seconds=s), c) for i, s, c in rows], "event_id BIGINT, ts TIMESTAMP, source STRING")

@@ -68,7 +68,7 @@ def batch_detection(spark, d):
 
 def _trained(spark, d):
     f = cut(ft.complete(ft.engineered_features(t.ticks(spark, d))), "features")
-    return jobs.train_market(f, "CRYPTO", "event_id", ["ts", "event_id"], trees=50)
+    return jobs.train_market(f, "CRYPTO", "event_id", ["ts", "event_id"])
 
 
 @query("zscored_training", "E2 E5 A1 A2 M1 M3 M4 U5 S15")
@@ -81,7 +81,7 @@ def zscored_training(spark, d):
 @query("weak_supervision", "E3 M11 M12 A23 S15")
 def weak_supervision(spark, d):
     _, scored = _trained(spark, d)
-    _, _, stats = jobs.weak_supervision(scored, trees=10)
+    _, _, stats = jobs.weak_supervision(scored)
     return stats
 
 
@@ -90,7 +90,7 @@ def supervised_training(spark, d):
     f = ft.complete(ft.engineered_features(t.ticks(spark, d)))
     f = f.withColumns({"is_pump_and_dump": (F.col("volume_ratio_20d") > 1.6).cast("int"),
                        "is_wash_trading": (F.col("return") > 2).cast("int")})
-    _, out = jobs.supervised(f, "event_id", ["ts", "event_id"], patterns_=["pump_and_dump", "wash_trading"], trees=10)
+    _, out = jobs.supervised(f, "event_id", ["ts", "event_id"], patterns_=["pump_and_dump", "wash_trading"])
     return out
 
 
@@ -101,7 +101,7 @@ def stored_models(spark, d):
     loaded = []
     for market in ("CRYPTO", "US_EQUITY"):
         rows = f.filter(F.col("market") == market)
-        forest = fo.fit_forest(rows, FEATURES, "event_id", trees=20)
+        forest = fo.fit_forest(rows, FEATURES, "event_id")
         registry.save(spark, MarketModels(market, forest=forest, baselines=ft.trailing_baselines(rows), trained_at="round"), root)
         loaded.append(registry.load(spark, market, root))
     counts = registry.all_baselines(loaded).groupBy("market").agg(F.count(F.lit(1)).alias("n_baselines"))

@@ -51,7 +51,7 @@ def forest_fit(spark, d):
 def pattern_detector(spark, d):
     x = cut(labelled_bars(spark, d).select(*FEATURES, "row_id", "is_pump_and_dump", "is_wash_trading"), "labelled")
     ps = ["pump_and_dump", "wash_trading"]
-    det = patterns.fit_patterns(x.filter(_share(True)), patterns=ps, estimator=patterns.default_estimator(trees=20))
+    det = patterns.fit_patterns(x.filter(_share(True)), patterns=ps, estimator=patterns.default_estimator())
     scored = cut(det.predict(x.filter(_share(False))), "proba")
     return metrics.evaluate(patterns.detector_rows(scored, ps))
 
@@ -69,7 +69,7 @@ def pattern_flags(spark, d):
 def weak_label_training(spark, d):
     w = cut(weak_ticks(spark, d), "weak")
     # a lower cut-off than the default keeps positives of several patterns on small tables
-    det, marked = patterns.fit_on_weak_labels(w, cutoff=0.15, estimator=patterns.default_estimator(trees=20))
+    det, marked = patterns.fit_on_weak_labels(w, cutoff=0.15, estimator=patterns.default_estimator())
     scored = cut(with_truth(det.predict_proba(marked)), "proba")
     ps = list(det.models)
     return metrics.auc(patterns.detector_rows(scored, ps), ["pattern"])
@@ -98,7 +98,7 @@ def tree_models(spark, d):
     train, test = x.filter(_share(True)), x.filter(_share(False))
     models.base_rate_log_odds(train)
     rows = []
-    for name, e in {"decision_tree": models.decision_tree(), "random_forest": models.random_forest(20), "boosting": models.boosting(10)}.items():
+    for name, e in {"decision_tree": models.decision_tree(), "random_forest": models.random_forest(), "boosting": models.boosting(50)}.items():
         rows.append((name, float(_auc(e.fit(train), test).first().auc)))
     return metrics.ranked(spark.createDataFrame(rows, "model STRING, auc DOUBLE"), "auc")
 
@@ -113,21 +113,21 @@ def boosting_stages(spark, d):
 
 @query("kmeans_selection", "M20 M21 T-8")
 def kmeans_selection(spark, d):
-    x = models.vectors(t.read(spark, d, "embeddings"), "embedding").cache()
-    return models.choose_k(x, range(2, 6), restarts=2)
+    x = cut(models.vectors(t.read(spark, d, "embeddings"), "embedding"), "vectors")
+    return models.choose_k(x)
 
 
 @query("feature_elimination", "M22 M23")
 def feature_elimination(spark, d):
     x = cut(labelled_bars(spark, d).select(*SMALL, "is_pump_and_dump"), "labelled")
-    out = models.recursive_elimination(x, SMALL, "is_pump_and_dump", keep=4, trees=10)
-    return out.join(models.embedded_selection(x, SMALL, "is_pump_and_dump", trees=10), "feature", "left")
+    out = models.recursive_elimination(x, SMALL, "is_pump_and_dump", keep=4)
+    return out.join(models.embedded_selection(x, SMALL, "is_pump_and_dump", trees=100), "feature", "left")
 
 
 @query("model_comparison", "M24 T-8 W26")
 def model_comparison(spark, d):
     x = ml_rows(spark, d)
-    return models.compare_models(x, {"logistic": lambda: models.logistic(20), "tree": models.decision_tree}, splits=3,
+    return models.compare_models(x, {"logistic": lambda: models.logistic(20), "tree": models.decision_tree}, splits=5,
                                  scale_for=["logistic"], by=["symbol"])
 
 
@@ -141,7 +141,7 @@ def isotonic_calibration(spark, d):
 @query("learning_curve", "W32")
 def learning_curve(spark, d):
     x = ml_rows(spark, d)
-    return models.learning_curve(x, models.decision_tree, splits=2, sizes=(0.5, 1.0), by=["symbol"])
+    return models.learning_curve(x, models.decision_tree, by=["symbol"])
 
 
 @query("combined_vs_per_pattern", "A40")
@@ -150,7 +150,7 @@ def combined_vs_per_pattern(spark, d):
     rows = models.VectorAssembler(inputCols=SMALL, outputCol="features").transform(x).select(
         "row_id", "features", "any", "is_pump_and_dump", "is_wash_trading")
     return models.combined_vs_per_pattern(rows, {"combined (blended)": "any", "pump_and_dump (per-pattern)": "is_pump_and_dump",
-                                                 "wash_trading (per-pattern)": "is_wash_trading"}, "row_id", trees=10)
+                                                 "wash_trading (per-pattern)": "is_wash_trading"}, "row_id")
 
 
 @query("sequence_forecast", "M34 F15 W23 E6")

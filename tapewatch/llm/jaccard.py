@@ -8,6 +8,10 @@ drawn from a whole corpus separate nothing. The join therefore starts with proje
 * In a class, the shingle space is cut in more parts than two linked documents can differ in elements; they agree
   wholly in one part at least. Documents with an equal part share a cell, and cells that share documents are merged
   into regions. Every link lies within a region.
+* Passages that many documents share can tie documents that do not link, so a region too large for one task is cut
+  again: linked sets share an element among the rarest ``n - ceil(t n) + 1`` of each, rare meaning rare in the region.
+  Sets that share none of these part. This is repeated while regions shrink. Counts are kept in a table of fixed size;
+  they only order the elements, so a collision costs time, never a link.
 * Regions are joined by pivots: each document belongs to the Voronoi cell of its nearest pivot, and it is copied as
   a guest into every cell whose pivot is at most twice the radius farther away (triangle inequality). So the cell of
   a document holds all its partners. Cells are split again until they are small; a cell that pivots cannot split
@@ -29,6 +33,8 @@ from tapewatch.session import cut
 #: Largest load of a cell that one task joins: shingles, and as many again as ROW for each document.
 CELL_LOAD, ROW = 4_000_000, 1_000
 PIVOTS = 16
+#: Buckets in which the shingles of large regions are counted, 4 bits each: 2 MiB, whatever the size of the regions.
+COUNT_BUCKETS = 1 << 22
 _CLASSES: dict[tuple[int, int], list[int]] = {}
 
 
@@ -139,6 +145,59 @@ def _sets(words: int):
     return run
 
 
+def _named(cell: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """A hash of each shingle that holds in its own cell only."""
+    return mix(shingles + mix(cell.view(np.uint64) + np.uint64(0x8CB92BA72F3D8DD7)))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of all rows of (cell, print, shingles) as names, with the row of each and its borders."""
+    raw, borders = byte_views(batch.column(2))
+    sizes, cell = np.diff(borders) // 8, batch.column(0).to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return _named(cell[row], np.frombuffer(raw.tobytes(), dtype=np.uint64)), row, borders // 8
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNT_BUCKETS, dtype=np.int64)
+    for batch in batches:
+        for part in pieces([batch], 2):
+            np.add.at(total, (_flat(part)[0] % np.uint64(COUNT_BUCKETS)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    for k in range(0, len(at), 1 << 16):
+        own = at[k:k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["bucket", "often"])
+
+
+def _ranks(rows: DataFrame) -> bytes:
+    """For each bucket half a byte: 0 without shingles, 1 for one, and one more each time the count doubles."""
+    often = rows.mapInArrow(_bucket_counts, "bucket long, often long").groupBy("bucket").agg(F.sum("often").alias("often"))
+    rank = F.least(F.lit(15), F.floor(F.log2("often")) + 1).cast("long")
+    words = (often.select("bucket", rank.alias("rank")).groupBy(F.expr("bucket div 8").alias("word"))
+             .agg(F.sum(F.expr("shiftleft(rank, cast(4 * (bucket % 8) as int))")).alias("bits")).toPandas())  # COUNT_BUCKETS / 8 rows at most
+    table = np.zeros(COUNT_BUCKETS // 8, dtype=np.uint32)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return table.tobytes()
+
+
+def _rare_postings(ranks: bytes, num: int, den: int):
+    """(key, print) for the rarest shingles of each set; linked sets of a cell have a key in common."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.frombuffer(ranks, dtype=np.uint8)
+        table = np.empty(COUNT_BUCKETS, dtype=np.uint8)
+        table[0::2], table[1::2] = packed & 15, packed >> 4
+        for batch in pieces(batches, 2):
+            name, row, borders = _flat(batch)
+            rank = table[(name % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
+            order = np.lexsort((name, rank, row))
+            sizes = np.diff(borders)
+            most = sizes - (num * sizes + den - 1) // den + 1
+            keep = (np.arange(len(name)) - borders[row] < most[row]) & (rank[order] > 1)  # of rank 1: in no other set
+            yield pa.RecordBatch.from_arrays(
+                [_signed(name[order][keep]), batch.column(1).take(pa.array(row[keep]))], ["key", "print"])
+    return run
+
+
 class _Cell:
     """Joins the documents of one cell by pivots and windows; links counts the partners of each home document."""
 
@@ -268,6 +327,27 @@ def _loads(cells: DataFrame) -> DataFrame:
     return cells.groupBy("cell").agg(F.sum(F.col("n") + ROW).alias("load"))
 
 
+def _part(cells: DataFrame, num: int, den: int, bound: int) -> DataFrame:
+    """Cuts the cells over ``bound`` into sets that rare shingles tie, again and again while a cell loses a third."""
+    names = cells.columns
+    loads = cut(_loads(cells).filter(F.col("load") > bound), "large")
+    done = []
+    while not loads.isEmpty():
+        done.append(cells.join(loads, "cell", "left_anti").select(*names))
+        rows = cells.join(loads, "cell").select("cell", "print", "shingles")
+        posts = rows.mapInArrow(_rare_postings(_ranks(rows), num, den), "key long, print long")
+        tied = components(posts.repartition("key").mapInArrow(_shared, "a long, b long").distinct())
+        tied = tied.withColumnRenamed("node", "print")
+        made = cells.join(loads, "cell").withColumnRenamed("cell", "parent").join(tied, "print")
+        made = cut(made.withColumn("cell", F.xxhash64("parent", "label")).drop("label"), "parted")
+        after = made.groupBy("cell").agg(F.sum(F.col("n") + ROW).alias("own"), F.max("load").alias("load"))
+        again = after.filter((F.col("own") > bound) & (F.col("own") <= 0.7 * F.col("load")))
+        cells, loads = made.select(*names), cut(again.select("cell", F.col("own").alias("load")), "large")
+    for part in done:
+        cells = cells.unionAll(part)
+    return cells
+
+
 def _split(cells: DataFrame, num: int, den: int, bound: int) -> DataFrame:
     """Splits the cells over ``bound`` by pivots, and cells that pivots don't split by pairs of blocks."""
     names, done = cells.columns, None
@@ -333,7 +413,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chosen = chosen.withColumnRenamed("low", "id")
     texts = only_members(rows.filter("id is not null"), chosen, "id").join(chosen, "id").select("print", "text", F.col("label").alias("cell"), "copies")
     cells = cut(texts.mapInArrow(_sets(words), _CELLS), "cells")
-    cells = _split(cells, num, den, cell_load)
+    cells = _split(_part(cells, num, den, cell_load), num, den, cell_load)
     joined = (cells.repartition("cell").sortWithinPartitions("cell")
               .mapInArrow(_join_cells(num, den), "print long, root long, links long"))
     joined = cut(joined, "joined")

@@ -34,7 +34,7 @@ from tapewatch.session import cut
 CELL_LOAD, ROW = 4_000_000, 1_000
 PIVOTS = 16
 #: Buckets in which the shingles of large regions are counted, 4 bits each: 2 MiB, whatever the size of the regions.
-COUNT_BUCKETS = 1 << 22
+COUNT_BUCKETS, RANK_BLOCK = 1 << 22, 1 << 12
 _CLASSES: dict[tuple[int, int], list[int]] = {}
 
 
@@ -169,15 +169,28 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["bucket", "often"])
 
 
+def _rank_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs the ranks of each block of buckets; a block's rows are all in this task."""
+    found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if found:
+        bucket, often = (np.concatenate(x) for x in zip(*found))
+        rank = np.minimum(np.frexp(often.astype(np.float64))[1], 15).astype(np.uint8)
+        names, place = np.unique(bucket // RANK_BLOCK, return_inverse=True)
+        table = np.zeros((len(names), RANK_BLOCK), dtype=np.uint8)
+        table[place, bucket % RANK_BLOCK] = rank
+        packed = table[:, 0::2] | (table[:, 1::2] << 4)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in packed], pa.binary())], ["block", "ranks"])
+
+
 def _ranks(rows: DataFrame) -> bytes:
     """For each bucket half a byte: 0 without shingles, 1 for one, and one more each time the count doubles."""
     often = rows.mapInArrow(_bucket_counts, "bucket long, often long").groupBy("bucket").agg(F.sum("often").alias("often"))
-    rank = F.least(F.lit(15), F.floor(F.log2("often")) + 1).cast("long")
-    words = (often.select("bucket", rank.alias("rank")).groupBy(F.expr("bucket div 8").alias("word"))
-             .agg(F.sum(F.expr("shiftleft(rank, cast(4 * (bucket % 8) as int))")).alias("bits")).toPandas())  # COUNT_BUCKETS / 8 rows at most
-    table = np.zeros(COUNT_BUCKETS // 8, dtype=np.uint32)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
-    return table.tobytes()
+    blocks = often.repartition(F.expr(f"bucket div {RANK_BLOCK}")).mapInArrow(_rank_blocks, "block long, ranks binary")
+    table = bytearray(COUNT_BUCKETS // 2)
+    for row in blocks.collect():  # COUNT_BUCKETS / RANK_BLOCK rows at most
+        at = row["block"] * RANK_BLOCK // 2
+        table[at:at + RANK_BLOCK // 2] = row["ranks"]
+    return bytes(table)
 
 
 def _rare_postings(ranks: bytes, num: int, den: int):

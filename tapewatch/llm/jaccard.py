@@ -159,14 +159,14 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNT_BUCKETS, dtype=np.int64)
+    total = np.zeros(COUNT_BUCKETS, dtype=np.uint32)
     for batch in batches:
         for part in pieces([batch], 2):
             np.add.at(total, (_flat(part)[0] % np.uint64(COUNT_BUCKETS)).astype(np.int64), 1)
     at = np.flatnonzero(total)
     for k in range(0, len(at), 1 << 16):
         own = at[k:k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["bucket", "often"])
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own].astype(np.int64))], ["bucket", "often"])
 
 
 def _rank_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tapewatch.llm import graphs, html, mixing, packing, pii, quality, token_files, warc
+from tapewatch.llm import graphs, html, jaccard, mixing, packing, pii, quality, token_files, warc
 from tapewatch.llm.base import components
 from tapewatch.llm.jaccard import jaccard_join
 from tapewatch.llm.substrings import remove_repeated
@@ -78,6 +78,20 @@ def test_jaccard_join(spark, k, num, den, load):
     assert got == brute_join(rows, k, num, den)
 
 
+def test_regions_part_where_only_a_passage_is_shared(spark):
+    rnd = np.random.default_rng(3)
+    shared = np.arange(1, 41, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([shared, rnd.integers(1 << 20, 1 << 62, 60).astype(np.uint64)])) for _ in range(60)]
+    sets += [np.sort(np.append(s[:-5], rnd.integers(1 << 20, 1 << 62, 5).astype(np.uint64))) for s in sets[:20]]
+    rows = [(7, k, 1, len(s), s.tobytes(), True) for k, s in enumerate(sets)] + [(8, 100, 1, 1, shared[:1].tobytes(), True)]
+    cells = spark.createDataFrame(rows, jaccard._CELLS)
+    got = {r["print"]: r["cell"] for r in jaccard._part(cells, 4, 5, 30_000).collect()}
+    assert got[100] == 8
+    for k in range(20):
+        assert got[k] == got[60 + k]
+    assert len({got.get(k) for k in range(20)}) > 10
+
+
 def test_jaccard_join_of_odd_rows(spark):
     rows = [(r[0], r[1]) for r in ODD]
     assert sorted((tuple(r) for r in jaccard_join(odd(spark)).collect()), key=repr) == brute_join(rows, 5, 4, 5)

@@ -386,8 +386,8 @@ def _split(cells: DataFrame, num: int, den: int, bound: int) -> DataFrame:
         stuck = cut(stuck, "stuck")
         if not stuck.isEmpty():
             count = F.ceil(2 * F.col("load") / bound).cast("int")
-            at = made.join(stuck, "cell").withColumn("blocks", count).withColumn("mine", F.pmod(F.xxhash64("print", F.lit(-1)), "blocks"))
-            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+            at = made.join(stuck, "cell").withColumn("blocks", count).withColumn("mine", F.pmod(F.xxhash64("print", F.lit(-1)), "blocks").cast("long"))
+            other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other")  # hashed like mine
             every = at.select("*", other)
             home = every.filter("home").withColumn("cell", F.xxhash64("cell", "mine", "other"))
             guest = (every.filter((F.col("mine") != F.col("other")) | ~F.col("home"))

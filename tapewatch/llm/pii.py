@@ -3,7 +3,8 @@
 Every entity has a canonical form, and its surrogate follows from a key, its type and that form alone, so the same
 person or number gets the same surrogate in every document, whatever its spelling. Over all distinct entities
 surrogates are checked: where two collide, or one is a real entity of the corpus, the later one is derived
-anew with the next attempt number, so distinct entities stay distinct. Only such attempts need to travel back to texts.
+anew with the next attempt number, so distinct entities stay distinct. Every few attempts make surrogates longer, so
+there is room for any number of entities. Only such attempts need to travel back to texts.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ CYRILLIC_ENDS = {"female": ("на", "лия"), "male": ("нов", "рон"),
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity; most texts are done with that.
 TRIGGER = r"[@\d]|PRIVATE KEY|eyJ|(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Г-н|Г-жа)\.? \p{Lu}"
-ATTEMPTS = 50
+#: After so many attempts surrogates get a further letter, syllable or digit.
+GROWTH = 2
 
 
 def _digits(x: Column) -> Column:
@@ -81,6 +83,12 @@ def _shuffle(x: Column, digest: Column) -> Column:
     return _let(hexa, lambda n: F.array_join(F.transform(F.split(x, ""), lambda c, i: one(c, i, n)), ""))
 
 
+def _tail(digest: Column, n: Column, values: Column) -> Column:
+    """``n`` further letters, syllables or digits, drawn apart from the places of the form itself."""
+    more = _let(F.sha2(digest, 256), lambda d: F.transform(F.sequence(F.lit(1), n), lambda k: _pick(values, _draw(d, k))))
+    return F.when(n > 0, F.array_join(more, "")).otherwise("")
+
+
 def _luhn(digits: Column) -> Column:
     """The check sum of digits whose last one is the check digit."""
     step = lambda d, i: F.when(i % 2 == 1, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
@@ -103,10 +111,10 @@ def _iban(x: Column, shuffled: Column) -> Column:
     return _let(F.substr(shuffled, F.lit(5)), checked)
 
 
-def _email(x: Column, shuffled: Column) -> Column:
+def _email(x: Column, shuffled: Column, tail: Column) -> Column:
     def joined(domain: Column) -> Column:
         inner = F.transform(F.slice(domain, F.lit(1), F.greatest(F.size(domain) - 2, F.lit(0))), lambda d: F.concat(d, F.lit(".")))
-        return F.concat(F.substring_index(shuffled, "@", 1), F.lit("@"), F.array_join(inner, ""))
+        return F.concat(F.substring_index(shuffled, "@", 1), tail, F.lit("@"), F.array_join(inner, ""))
 
     top = F.regexp_extract(x, r"\.(com|net|org)$", 1)
     return F.concat(_let(F.split(F.substring_index(shuffled, "@", -1), r"\."), joined), F.lit("example."), F.coalesce(F.nullif(top, F.lit("")), F.lit("com")))
@@ -117,7 +125,7 @@ def _ip(x: Column, shuffled: Column, digest: Column) -> Column:
     return F.when(x.contains(":"), shuffled).otherwise(F.array_join(octets.cast("array<string>"), "."))
 
 
-def _name(kind: Column, x: Column, digest: Column) -> Column:
+def _name(kind: Column, x: Column, digest: Column, growth: Column) -> Column:
     """A name of the same gender and script; an initial stays an initial."""
     def ends(table: dict[str, tuple[str, ...]]) -> Column:
         chosen = F.lit(None).cast("string")
@@ -127,19 +135,26 @@ def _name(kind: Column, x: Column, digest: Column) -> Column:
 
     cyrillic = x.rlike(r"\p{IsCyrillic}")
     syllables = F.when(cyrillic, _words(CYRILLIC)).otherwise(_words(LATIN))
-    stem = _let(syllables, lambda v: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: _pick(v, _draw(digest, k))), ""))
+    stem = _let(syllables, lambda v: F.concat(
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: _pick(v, _draw(digest, k))), ""), _tail(digest, growth, v)))
     end = _let(F.split(F.when(cyrillic, ends(CYRILLIC_ENDS)).otherwise(ends(ENDS)), " "), lambda v: _pick(v, _draw(digest, F.lit(5))))
     initial = F.concat(_pick(_words("ABCDEFGHIJKLMNOPRSTUVWZ"), _draw(digest, F.lit(7))), F.lit("."))
     return F.when(x.endswith("."), initial).otherwise(F.initcap(F.concat(stem, end)))
 
 
-def _surrogate(kind: Column, x: Column, digest: Column) -> Column:
-    """The surrogate of a canonical form."""
+def _surrogate(kind: Column, x: Column, digest: Column, attempt: Column) -> Column:
+    """The surrogate of a canonical form. Digits that grow beyond the form follow it behind a hyphen."""
+    growth = F.floor(attempt / GROWTH).cast("int")
+    letters = _tail(digest, growth, _words("abcdefghijklmnopqrstuvwxyz"))
+    digits = _tail(digest, growth, _words("0123456789"))
+    extension = F.when(growth > 0, F.concat(F.lit("-"), digits)).otherwise("")
+
     def by_kind(s: Column) -> Column:
-        return (F.when(kind == "email", _email(x, s)).when(kind == "ip", _ip(x, s, digest)).when(kind == "card", _card(x, s))
-                .when(kind == "ssn", F.concat(F.lit("9"), F.substr(s, F.lit(2)))).when(kind == "iban", _iban(x, s))
-                .when(kind.startswith("name"), _name(kind, x, digest))
-                .when(kind == "key", F.concat(F.substr(x, F.lit(1), F.lit(4)), F.substr(s, F.lit(5)))).otherwise(s))
+        return (F.when(kind == "email", _email(x, s, letters)).when(kind == "ip", F.concat(_ip(x, s, digest), extension))
+                .when(kind == "card", F.concat(_card(x, s), extension)).when(kind == "ssn", F.concat(F.lit("9"), F.substr(s, F.lit(2)), extension))
+                .when(kind == "iban", _iban(x, F.concat(s, digits))).when(kind == "phone", F.concat(s, extension))
+                .when(kind.startswith("name"), _name(kind, x, digest, growth))
+                .when(kind == "key", F.concat(F.substr(x, F.lit(1), F.lit(4)), F.substr(s, F.lit(5)), letters)).otherwise(F.concat(s, letters)))
 
     return _let(_shuffle(x, digest), by_kind)
 
@@ -195,33 +210,34 @@ def _entities(text: Column) -> Column:
 
 def _render(part: Column) -> Column:
     """The surrogate (made) in the form in which the entity is shown."""
-    made = part.made
+    made, extension = F.substring_index(part.made, "-", 1), F.regexp_extract(part.made, "-.*", 0)
     n = F.length(made)
 
     def filled(c: Column, i: Column) -> Column:  # digits from the right, so that a country code stays
         behind = F.length(_digits(F.substr(part.shown, i + 1)))
         return F.when(c.rlike("[0-9]") & (behind <= n), F.substr(made, n - behind + 1, F.lit(1))).otherwise(c)
 
-    digits = F.array_join(F.transform(F.split(part.shown, ""), filled), "")
+    digits = F.concat(F.array_join(F.transform(F.split(part.shown, ""), filled), ""), extension)
     upper = (part.shown == F.upper(part.shown)) & (part.shown != F.lower(part.shown)) & (F.length(part.shown) > 1)
     return (F.when(part.kind == "number", part.shown).when(part.kind.isin("phone", "card", "ssn"), digits)
-            .when((part.kind == "iban") & part.shown.contains(" "), F.regexp_replace(made, "(.{4})(?!$)", "$1 "))
-            .when(part.kind.isin("email", "name_first", "name_female", "name_male", "name_last") & upper, F.upper(made)).otherwise(made))
+            .when((part.kind == "iban") & part.shown.contains(" "), F.regexp_replace(part.made, "(.{4})(?!$)", "$1 "))
+            .when(part.kind.isin("email", "name_first", "name_female", "name_male", "name_last") & upper, F.upper(part.made)).otherwise(part.made))
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
     """(kind, canonical, attempt, made) for the distinct entities of ``found``, a table with kind and canonical.
 
-    Within a kind no two entities share a surrogate, and no surrogate is an entity. Rounds touch colliding rows only.
+    Within a kind no two entities share a surrogate, and no surrogate is an entity. Rounds touch colliding rows only;
+    they end, since the space of surrogates grows by a factor every few attempts.
     """
     def made(rows: DataFrame) -> DataFrame:
         digest = _digest(key, F.col("kind"), F.col("canonical"), F.col("attempt"))
-        return rows.select("kind", "canonical", "attempt", _surrogate(F.col("kind"), F.col("canonical"), digest).alias("made"))
+        return rows.select("kind", "canonical", "attempt", _surrogate(F.col("kind"), F.col("canonical"), digest, F.col("attempt")).alias("made"))
 
     state = cut(made(found.select("kind", "canonical").distinct().withColumn("attempt", F.lit(0))), "surrogates")
     real = state.select("kind", F.col("canonical").alias("made"), F.lit(True).alias("real"))
     initials = F.col("made").rlike(r"^.\.$")  # one letter can't tell many people apart; initials may coincide
-    for _ in range(ATTEMPTS):
+    while True:
         rank = F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "canonical"))
         judged = state.withColumn("rank", rank).join(real, ["kind", "made"], "left")
         judged = cut(judged.withColumn("bad", ~initials & ((F.col("rank") > 1) | F.col("real").isNotNull())), "judged")
@@ -229,7 +245,6 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
             return state
         again = made(judged.filter("bad").withColumn("attempt", F.col("attempt") + 1))
         state = cut(judged.filter("not bad").select("kind", "canonical", "attempt", "made").unionAll(again), "surrogates")
-    raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")
 
 
 def replace_entities(docs: DataFrame, key: str = "corpus", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,12 +277,12 @@ def replace_entities(docs: DataFrame, key: str = "corpus", id_col: str = "doc_id
             tries = F.filter(F.col("later"), lambda o: (o.kind == p.kind) & (o.canonical == p.canonical))
             attempt = F.coalesce(F.get(tries, F.lit(0)).attempt, F.lit(0))
             return F.struct(p.kind.alias("kind"), p.canonical.alias("canonical"), p.shown.alias("shown"),
-                            _digest(key, p.kind, p.canonical, attempt).alias("digest"))
+                            attempt.alias("attempt"), _digest(key, p.kind, p.canonical, attempt).alias("digest"))
         return F.struct(e.kind.alias("kind"), e.head.alias("head"), e.tail.alias("tail"), F.transform(e.parts, one).alias("parts"))
 
     def made(e: Column) -> Column:
         parts = F.transform(e.parts, lambda p: F.struct(
-            p.kind.alias("kind"), p.shown.alias("shown"), _surrogate(p.kind, p.canonical, p.digest).alias("made")))
+            p.kind.alias("kind"), p.shown.alias("shown"), _surrogate(p.kind, p.canonical, p.digest, p.attempt).alias("made")))
         parts = F.transform(parts, lambda p: F.struct(p.kind.alias("kind"), p.shown.alias("shown"), _render(p).alias("made")))
         return F.struct(e.kind.alias("kind"), e.head.alias("head"), e.tail.alias("tail"), parts.alias("parts"))
 

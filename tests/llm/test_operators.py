@@ -296,6 +296,25 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert all(a == b for a, b in made) and len({a for a, _ in made}) == 120
 
 
+def test_surrogates_find_room_for_all(spark):
+    """More one-letter addresses than letters, and more names than syllable triples with their ends."""
+    df = spark.createDataFrame([(k, f"to j@a{k}.com and J@A{k}.COM") for k in range(1000)], "doc_id long, text string")
+    made = [re.fullmatch(r"to (\w+@example\.com) and (\S+)", r.text).groups() for r in pii.replace_entities(df).collect()]
+    assert all(a.upper() == b for a, b in made) and len({a for a, _ in made}) == 1000
+    n = len(pii.CYRILLIC) ** 3 * 2 + 100
+    names = spark.range(n).select(F.lit("name_last").alias("kind"), F.concat(F.lit("Ж"), "id").alias("canonical"))
+    got = pii.surrogates(names, "corpus").agg(F.count("*"), F.count_distinct("made"), F.max(F.length("made"))).first()
+    assert got[0] == got[1] == n and got[2] < 25
+
+
+def test_surrogates_find_room_among_real_numbers(spark):
+    """700 of the 1,000 forms are real, so 300 are left for 700 surrogates; the others get an extension."""
+    numbers = spark.range(700).select(F.lit("phone").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("canonical"))
+    made = {r.canonical: r.made for r in pii.surrogates(numbers, "corpus").collect()}
+    assert len(set(made.values())) == 700 and not set(made) & set(made.values())
+    assert all(re.fullmatch(r"\d{3}(?:-\d+)?", m) for m in made.values())
+
+
 def brute_substrings(texts, length):
     data = [(t or "").encode() for t in texts]
     often = Counter(b[p:p + length] for b in data for p in range(len(b) - length + 1))

@@ -1,7 +1,8 @@
 """Main text of web pages by paths on which the pages of a host agree.
 
 First every page scores its own containers: an element's content is the text of the blocks inside it that are not
-boilerplate by tag, role or class, less the text of links. Its vote goes to the generalised path (tags and
+boilerplate by tag, role or class, less the text of links; a form is boilerplate unless it holds most of the page's
+text. Its vote goes to the generalised path (tags and
 classes without digits from the body down) of the smallest element that holds nearly all content, widened to the heading.
 Spark counts the votes per host. Then every page is cut anew: at the best path of its host that it has, or, where it has
 none of them, at its own choice. So a page whose own score misleads follows the other pages of its host.
@@ -24,7 +25,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt rtc s samp small "
                    "span strike strong sub sup time tt u var wbr nobr".split())
-SKIPPED = frozenset("nav footer aside form button select option datalist fieldset menu dialog head".split())
+SKIPPED = frozenset("nav footer aside button select option datalist fieldset menu dialog head".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                      "header hgroup hr main menu nav ol p pre section table ul li dt dd".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -34,22 +35,28 @@ BOILERPLATE = re.compile(
     r"(?:^|[\s_\-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|ads?|advert\w*|banner|sponsor\w*|promo\w*|"
     r"cookies?|consent|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|"
     r"comments?|respond|disqus|replies|widgets?|pagination|pager|tags|toolbar|skip|hidden|copyright|legal|disclaimer|search\w*|form)(?:$|[\s_\-])")
+#: Articles are named for their subject or state ("tag-search comments-open"), so only names of comments themselves count.
+COMMENT = re.compile(r"(?:^|\s)(?:(?:div|js|wp|user)[_\-]+)?(?:comments?|repl(?:y|ies)|responses?|disqus)"
+                     r"(?:[_\-]+(?:body|item|content|entry|text|wrapper|list|\d+))?(?:$|\s)")
 GOOD = re.compile(r"(?:^|[\s_\-])(?:article|content|main|post|entry|story|text|body)(?:$|[\s_\-])")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: An element is the container if it holds this share of the page's content; paths with fewer than 1 in 50 of the votes of the first don't win.
 SHARE, LEAST_VOTES = 0.9, 0.02
+#: An article with the page's heading, and a main, need this share only, if other containers don't hold more.
+DECLARED_SHARE = 1 / 3
 
 
 class _Element:
-    __slots__ = ("tag", "name", "parent", "path", "skipped", "link", "heading")
+    __slots__ = ("tag", "name", "parent", "path", "skipped", "link", "heading", "form")
 
     def __init__(self, tag: str, name: str, parent: _Element | None, skipped: bool) -> None:
         self.tag, self.name, self.parent, self.skipped = tag, name, parent, skipped
         self.link = tag == "a" or (parent is not None and parent.link)
         self.path = "" if parent is None else f"{parent.path}>{name}" if parent.path else name
         self.heading = False
+        self.form = self if tag == "form" else parent.form if parent is not None else None
 
 
 def _name(tag: str, attributes: str, parent: _Element | None) -> tuple[str, bool]:
@@ -61,14 +68,38 @@ def _name(tag: str, attributes: str, parent: _Element | None) -> tuple[str, bool
     while inside is not None and inside.tag not in ("article", "main"):
         inside = inside.parent
     skipped = tag in SKIPPED or (tag == "header" and inside is None)
-    skipped |= found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    role = found.get("role", "").lower()
+    skipped |= (role in ROLES and (tag, role) != ("form", "form")) or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     skipped |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
     words = f"{classes} {found.get('id', '').lower()}"
-    if tag not in ("body", "html", "article", "main", "h1") and words.strip():
+    if tag == "form":  # that it is one says nothing yet, see _kept_forms
+        words = re.sub(r"\bform\b", "", words)
+    if tag == "article":
+        skipped |= bool(COMMENT.search(words))
+    elif tag not in ("body", "html", "main", "h1") and words.strip():
         skipped |= bool(BOILERPLATE.search(re.sub(r"\s+", "  ", words))) and not (GOOD.search(words) and not re.search(r"comment|sidebar|nav|menu|footer|\bads?\b", words))
     return name, skipped
 
 
+def _kept_forms(found: list[tuple[_Element, str, int]]) -> set[int]:
+    """The forms that hold most of the page's text, as where a form wraps the whole body."""
+    whole, own = 0, {}
+    for owner, text, linked in found:
+        size, form = max(0, len(text) - linked), owner.form
+        whole += size
+        while form is not None:
+            own[id(form)] = own.get(id(form), 0) + size
+            form = form.parent.form
+    return {k for k, size in own.items() if 2 * size > whole}
+
+
+def _in_dropped_form(element: _Element, kept: set[int]) -> bool:
+    form = element.form
+    while form is not None and id(form) in kept:
+        form = form.parent.form
+    return form is not None
+
+
 def blocks(page: str) -> list[tuple[_Element, str, int]]:
     """The text blocks of a page in page order: the element that holds it, its text, and how much of that is links.
     White space is single, nothing is empty.
@@ -81,6 +112,7 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
     out: list[tuple[_Element, str, int]] = []
     text: list[str] = []
     owner, linked = root, 0
+    headings: list[_Element] = []
 
     def flush() -> None:
         if text:
@@ -148,13 +180,16 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             continue
         name, skipped = _name(tag, m[3], here)
         here = _Element(tag, name, here, skipped or here.skipped)
-        if tag == "h1":
-            scope = here.parent
-            while scope is not None:
-                scope.heading |= not here.skipped
-                scope = scope.parent
+        if tag == "h1" and not here.skipped:
+            headings.append(here)
     flush()
-    return out
+    kept = _kept_forms(out)
+    for heading in headings:
+        scope = None if _in_dropped_form(heading, kept) else heading.parent
+        while scope is not None:
+            scope.heading = True
+            scope = scope.parent
+    return [b for b in out if not _in_dropped_form(b[0], kept)]
 
 
 def choose(found: list[tuple[_Element, str, int]]) -> _Element | None:
@@ -169,10 +204,31 @@ def choose(found: list[tuple[_Element, str, int]]) -> _Element | None:
             scope = scope.parent
     if not total:
         return None
-    main = [e for e in elements.values() if e.tag in ("article", "main")]
+    whole = max(total.values())
+
+    def elsewhere(element: _Element) -> int:
+        """The content in containers that neither hold the element nor lie in it."""
+        above, size = set(), 0
+        scope = element
+        while scope is not None:
+            above.add(id(scope))
+            scope = scope.parent
+        for owner, text, linked in found:
+            scope, contained = owner, False
+            while scope is not None and id(scope) not in above:
+                contained |= scope.tag not in INLINE and scope.tag not in ("p", "h1")
+                scope = scope.parent
+            if scope is not element and contained:
+                size += max(0, len(text) - linked)
+        return size
+
+    def declared(e: _Element) -> bool:
+        size = total[id(e)]
+        return size >= SHARE * whole or ((e.heading or e.tag == "main") and size >= DECLARED_SHARE * whole and size >= elsewhere(e))
+
+    main = [e for e in elements.values() if e.tag in ("article", "main") and declared(e)]
     if main:  # the page says itself what its main text is
         return max(main, key=lambda e: (total[id(e)], len(e.path)))
-    whole = max(total.values())
     holding = [e for k, e in elements.items() if total[k] >= SHARE * whole and e.tag not in INLINE and e.tag not in ("p", "h1")]
     best = max(holding, key=lambda e: (len(e.path.split(">")), e.path), default=None)
     while best is not None and not best.heading and best.parent is not None and best.parent.tag not in ("", "html", "body"):

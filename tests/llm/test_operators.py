@@ -153,6 +153,29 @@ def test_html(spark):
     assert html.extract_main_text(df.limit(0)).collect() == []
 
 
+def test_teasers_and_comments_are_no_main_text(spark):
+    text = "".join(f"<p>Paragraph {k} of the story.</p>" for k in range(9))
+    cards = '<article class="card"><p>Teaser of another story.</p></article>' * 3
+    told = [f"Paragraph {k} of the story." for k in range(9)]
+    rows = [(k, f"http://h.org/{k}", f'<body><div class="content"><h1>T</h1>{text}</div>{cards}</body>') for k in range(3)]
+    got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 3 and all(r.text.split("\n")[:10] == ["T", *told] for r in got)
+    comment = '<article id="div-comment-7" class="comment-body"><p>' + "I think so too. " * 50 + "</p></article>"
+    assert html.extract(f'<body><div class="content">{text}</div>{comment}</body>', [])[0].split("\n") == told
+    # the state of comments is no sign of a comment, and a main next to a small unnamed box is still the main text
+    assert html.extract(f'<body><article class="post tag-search comments-open">{text}</article></body>', [])[0].split("\n") == told
+    assert html.extract(f'<body><main>{text}</main><div class="box">{"Box text. " * 8}</div></body>', [])[0].split("\n") == told
+
+
+def test_a_form_around_the_body_is_read():
+    text = "".join(f"<p>Paragraph {k} of the story.</p>" for k in range(9))
+    told = [f"Paragraph {k} of the story." for k in range(9)]
+    search = '<form><p>Find</p><input name="q"></form>'
+    for opening in ('<form id="form1" method="post">', '<form id="form" role="form">'):
+        assert html.extract(f"<body>{opening}{search}<h1>T</h1>{text}</form></body>", [])[0].split("\n") == ["T", *told]
+    assert html.extract(f"<body>{search}{text}<form><h1>Order</h1><p>Name</p></form></body>", [])[0].split("\n") == told
+
+
 def brute_quality(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)

@@ -14,22 +14,40 @@ from pyspark.sql import functions as F
 
 from tapewatch.session import cut
 
+# How keys, passwords and names begin.
+PEM, JWT, PREFIXES = "PRIVATE KEY", "eyJ", {r"(?:AKIA|ASIA)": "[A-Z0-9]{16}", r"gh[pousr]_": "[A-Za-z0-9]{36,}", r"sk-": "[A-Za-z0-9]{20,}"}
+ASSIGNED = r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+PASSWORD = rf"(?i:(?<![a-z])(?:password|passwd|pwd)){ASSIGNED}"
+TITLE = r"(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Г-н|Г-жа)\.? "
+#: What stands for a password in forms and code: a word for its kind, a call, a member, a variable.
+NO_PASSWORD = (r"(?!(?i:required|optional|string|password|passwd|incorrect|invalid|forgotten|missing|undefined|default|changed|protected|please)\b)"
+               r"(?![<${(\[%])(?!\w{1,80}+[(\[{])(?![A-Za-z_]\w{0,80}+\.\w)")
 # What an entity looks like. The order decides where two start at the same place.
 PATTERNS: dict[str, str] = {
-    "key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]*PRIVATE KEY-----"
-           r"|(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])"
-           r"|(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+",
-    "secret": r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|api[_\-]?key|access[_\-]?key|token))[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
-              r"(?=[^\s\"']{0,200}\d)[^\s\"']{6,}",
+    "key": rf"-----BEGIN [A-Z ]*{PEM}-----[A-Za-z0-9+/=\s]++-----END [A-Z ]*{PEM}-----"
+           rf"|(?<![A-Za-z0-9])(?:{'|'.join(start + rest for start, rest in PREFIXES.items())})(?![A-Za-z0-9])"
+           rf"|(?<![A-Za-z0-9]){JWT}[A-Za-z0-9_\-]{{8,}}+\.[A-Za-z0-9_\-]{{8,}}+\.[A-Za-z0-9_\-]{{8,}}+",
+    "secret": rf"(?i:(?<![a-z])(?:password|passwd|pwd|secret|api[_\-]?key|access[_\-]?key|token)){ASSIGNED}"
+              r"(?=[^\s\"']{0,200}\d)[^\s\"']{6,}"
+              rf"|{PASSWORD}{NO_PASSWORD}(?=[^\s\"']{{0,200}}[A-Za-z]{{2}})[^\s\"']{{6,}}",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"
-          r"|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
-    "card": r"(?<![\w.+\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}|\d{13,19})(?!\w)",
+          r"|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"
+          # with a gap: at most seven groups and a digit, so that names joined by colons stay
+          r"|(?<![\w:.])(?=[0-9A-Fa-f:]{0,39}\d)(?!(?:[0-9A-Fa-f]{0,4}:){8}[0-9A-Fa-f])[0-9A-Fa-f]{2,4}(?::[0-9A-Fa-f]{1,4}){0,6}::"
+          r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![\w:])",
+    "card": r"(?<![\w.+\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{4,5}|\d{13,19})(?!\w)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\w)"
-             r"|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
-    "name": r"(?<![\p{L}\p{N}])(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Г-н|Г-жа)\.?"
+             r"|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"
+             # North American with spaces or the trunk 1; area and exchange begin with 2 to 9
+             r"|(?<![\w.+\-])(?<!\d )[2-9]\d{2} [2-9]\d{2}[ \-]\d{4}(?![\w\-]| \d)"
+             r"|(?<![\w.+\-])(?<!\d )1[ .\-]?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .\-])[2-9]\d{2}[ .\-]\d{4}(?![\w\-])"
+             # national with the trunk 0: an area and 9 to 13 digits in all, or five pairs
+             r"|(?<![\w.+/\-])(?<!\d )(?=\d(?:[ /\-]?\d){8,12}(?![\w\-]))0[1-9]\d{1,4}[ /\-]\d{3,9}(?:[ \-]\d{2,5}){0,3}(?![\w\-]| \d)"
+             r"|(?<![\w.+/\-])(?<!\d )0[1-9](?:[ .\-]\d{2}){4}(?![\w\-]|[ .]\d)",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){TITLE[:-1]}"
             r"(?: \p{Lu}(?:\p{Ll}+|\p{Lu}+|\.)(?:-\p{Lu}\p{Ll}+)?){1,3}(?![\p{L}\p{N}])",
 }
 TYPES = tuple(PATTERNS)
@@ -42,7 +60,7 @@ CYRILLIC_ENDS = {"female": ("на", "лия"), "male": ("нов", "рон"),
                  "first": ("лей", "вин"), "last": ("берг", "сон")}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity; most texts are done with that.
-TRIGGER = r"[@\d]|PRIVATE KEY|eyJ|(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Г-н|Г-жа)\.? \p{Lu}"
+TRIGGER = rf"[@\d]|{PEM}|{JWT}|{'|'.join(PREFIXES)}|{PASSWORD}|{TITLE}\p{{Lu}}"
 #: After so many attempts surrogates get a further letter, syllable or digit.
 GROWTH = 2
 
@@ -120,9 +138,18 @@ def _email(x: Column, shuffled: Column, tail: Column) -> Column:
     return F.concat(_let(F.split(F.substring_index(shuffled, "@", -1), r"\."), joined), F.lit("example."), F.coalesce(F.nullif(top, F.lit("")), F.lit("com")))
 
 
+def _groups(x: Column) -> Column:
+    """An IPv6 address as its eight groups, whatever its spelling."""
+    halves = F.split(F.lower(x), "::")
+    left, right = (F.filter(F.split(F.coalesce(F.get(halves, F.lit(k)), F.lit("")), ":"), lambda g: g != "") for k in (0, 1))
+    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))), right)
+    return F.array_join(F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+
 def _ip(x: Column, shuffled: Column, digest: Column) -> Column:
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when(k == 0, F.pmod(_draw(digest, k), F.lit(15)) + 240).otherwise(F.pmod(_draw(digest, k), F.lit(256))))
-    return F.when(x.contains(":"), shuffled).otherwise(F.array_join(octets.cast("array<string>"), "."))
+    long = F.concat(F.lit("2001:db8:"), F.regexp_replace(F.substr(digest, F.lit(1), F.lit(24)), "(.{4})(?!$)", "$1:"))
+    return F.when(x.contains(":"), long).otherwise(F.array_join(octets.cast("array<string>"), "."))
 
 
 def _name(kind: Column, x: Column, digest: Column, growth: Column) -> Column:
@@ -192,6 +219,7 @@ def _entities(text: Column) -> Column:
         kind = F.when((e.kind == "card") & (_luhn(e.digits) != 0), "number").otherwise(e.kind)
         canonical = (F.when(e.kind == "email", F.lower(e.rest)).when(e.kind.isin("card", "ssn"), e.digits)
                      .when(e.kind == "phone", F.substr(e.digits, F.greatest(F.length(e.digits) - 9, F.lit(1))))
+                     .when((e.kind == "ip") & e.rest.contains(":"), _groups(e.rest))
                      .when(e.kind == "iban", F.regexp_replace(e.rest, " ", "")).otherwise(e.rest))
         return F.struct(kind.alias("kind"), e.head.alias("head"), e.tail.alias("tail"), e.rest.alias("rest"), canonical.alias("canonical"))
 

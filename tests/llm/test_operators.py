@@ -319,6 +319,30 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert all(a == b for a, b in made) and len({a for a, _ in made}) == 120
 
 
+FORMS = {"phone": ["415 555 2671", "1-800-555-2671", "1 (415) 555-2671", "0151 23456789", "020 7946 0958", "01 23 45 67 89"],
+         "ip": ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2a00:1450:4001:81b::"], "card": ["3782 822463 10005", "3782-822463-10005"],
+         "secret": ["password=correcthorse", "Passwd: hunterhunter", 'pwd = "Tr!ckyPhrase"'],
+         "key": ["sk-" + "abcdeFGHIJ" * 2, "ghp_" + "abcdEFGH" * 5, "AKIA" + "ABCDEFGHIJKLMNOP"]}
+
+
+def test_surrogates_of_common_forms(spark):
+    """Each form alone in a running text, so that nothing else triggers it; and what only looks like one."""
+    forms = [(kind, f) for kind, found in FORMS.items() for f in found]
+    plain = ["pages 100 200 3000 of it", "std::vector and ab::cd", "card 3782 822463 10006", "Password: required, pwd = getpass()", "password = config.value",
+             "from 12:30 to 1:45", "on 2004-05-12 05-12", "a 1:2:3:4:5:6:7::8 b", "it is task-abcdefghijklmnopqrstuv"]
+    rows = [(k, f"so use {f}, then go on") for k, (_, f) in enumerate(forms)] + [(100 + k, t) for k, t in enumerate(plain)]
+    rows += [(200, "2001:DB8:0:0::1 is 2001:db8::1"), (201, "0151 23456789 is +49 151 23456789")]
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (kind, form) in enumerate(forms):
+        assert got[k].replaced == [kind] and form not in got[k].text, form
+        assert re.fullmatch("so use .+, then go on", got[k].text), form
+    assert {t: got[100 + k].text for k, t in enumerate(plain)} == {t: t for t in plain}
+    a, b = got[200].text.split(" is ")
+    assert a == b and re.fullmatch("2001:db8(?::[0-9a-f]{4}){6}", a)
+    a, b = ("".join(re.findall(r"\d", x))[-9:] for x in got[201].text.split(" is "))
+    assert a == b != "123456789"
+
+
 def test_surrogates_find_room_for_all(spark):
     """More one-letter addresses than letters, and more names than syllable triples with their ends."""
     df = spark.createDataFrame([(k, f"to j@a{k}.com and J@A{k}.COM") for k in range(1000)], "doc_id long, text string")

@@ -68,7 +68,7 @@ def batch_detection(spark, d):
 
 def _trained(spark, d):
     f = cut(ft.complete(ft.engineered_features(t.ticks(spark, d))), "features")
-    return jobs.train_market(f, "CRYPTO", "event_id", ["ts", "event_id"])
+    return jobs.train_markets(f, "event_id", ["ts", "event_id"])
 
 
 @query("zscored_training", "E2 E5 A1 A2 M1 M3 M4 U5 S15")
@@ -81,7 +81,7 @@ def zscored_training(spark, d):
 @query("weak_supervision", "E3 M11 M12 A23 S15")
 def weak_supervision(spark, d):
     _, scored = _trained(spark, d)
-    _, _, stats = jobs.weak_supervision(scored)
+    _, stats = jobs.supervise_markets(scored)
     return stats
 
 
@@ -89,8 +89,10 @@ def weak_supervision(spark, d):
 def supervised_training(spark, d):
     f = ft.complete(ft.engineered_features(t.ticks(spark, d)))
     f = f.withColumns({"is_pump_and_dump": (F.col("volume_ratio_20d") > 1.6).cast("int"),
-                       "is_wash_trading": (F.col("return") > 2).cast("int")})
-    _, out = jobs.supervised(f, "event_id", ["ts", "event_id"], patterns_=["pump_and_dump", "wash_trading"])
+                       "is_wash_trading": (F.col("return") > 2).cast("int"),
+                       "is_spoofing": ((F.col("volatility_20d") > 200) & (F.abs("return") < 0.5)).cast("int"),
+                       "is_layering": (F.col("volume_ratio_20d").between(1.2, 1.6) & (F.abs("return") < 0.5)).cast("int")})
+    _, out = jobs.supervised(f, "event_id", ["ts", "event_id"])
     return out
 
 

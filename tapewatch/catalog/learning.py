@@ -19,10 +19,13 @@ SMALL = ["return", "volume_ratio_20d", "volatility_20d", "rsi_14d", "macd", "tru
 
 
 def labelled_bars(spark, d):
-    """Bars with a manipulation label: the largest volume ratios of rising days."""
+    """Bars with a label per pattern: large volume ratios of rising and of other days, and quiet days of high volatility
+    or of raised volume."""
     f = ft.complete(bar_features(spark, d))
     y = (F.col("volume_ratio_20d") > 2.0).cast("int") * (F.col("return") > 0).cast("int")
     return f.withColumns({"is_pump_and_dump": y, "is_wash_trading": ((F.col("volume_ratio_20d") > 2.2) & (F.col("return") <= 0)).cast("int"),
+                          "is_spoofing": ((F.col("volatility_20d") > 200) & (F.abs("return") < 0.5)).cast("int"),
+                          "is_layering": (F.col("volume_ratio_20d").between(1.3, 1.8) & (F.abs("return") < 0.5)).cast("int"),
                           "row_id": F.concat_ws("-", "symbol", "day_no")})
 
 
@@ -49,11 +52,10 @@ def forest_fit(spark, d):
 
 @query("pattern_detector", "M6 M7 M8 M9 A16 E4")
 def pattern_detector(spark, d):
-    x = cut(labelled_bars(spark, d).select(*FEATURES, "row_id", "is_pump_and_dump", "is_wash_trading"), "labelled")
-    ps = ["pump_and_dump", "wash_trading"]
-    det = patterns.fit_patterns(x.filter(_share(True)), patterns=ps, estimator=patterns.default_estimator())
+    x = cut(labelled_bars(spark, d).select(*FEATURES, "row_id", *[f"is_{p}" for p in PATTERNS]), "labelled")
+    det = patterns.fit_patterns(x.filter(_share(True)), estimator=patterns.default_estimator())
     scored = cut(det.predict(x.filter(_share(False))), "proba")
-    return metrics.evaluate(patterns.detector_rows(scored, ps))
+    return metrics.evaluate(patterns.detector_rows(scored, PATTERNS))
 
 
 @query("pattern_flags", "M8",
@@ -68,8 +70,10 @@ def pattern_flags(spark, d):
 @query("weak_label_training", "M12 M13 E3")
 def weak_label_training(spark, d):
     w = cut(weak_ticks(spark, d), "weak")
-    # a lower cut-off than the default keeps positives of several patterns on small tables
-    det, marked = patterns.fit_on_weak_labels(w, cutoff=0.15, estimator=patterns.default_estimator())
+    if not patterns.label_statistics(w).first().n_kept:  # no confident label, so no pattern to train
+        none = w.limit(0).withColumns({f"proba_{p}": F.lit(0.0) for p in PATTERNS})
+        return metrics.auc(patterns.detector_rows(none, PATTERNS), ["pattern"])
+    det, marked = patterns.fit_on_weak_labels(w, estimator=patterns.default_estimator())
     scored = cut(with_truth(det.predict_proba(marked)), "proba")
     ps = list(det.models)
     return metrics.auc(patterns.detector_rows(scored, ps), ["pattern"])
@@ -106,7 +110,7 @@ def tree_models(spark, d):
 @query("boosting_stages", "M18 M19 T-7")
 def boosting_stages(spark, d):
     x = ml_rows(spark, d)
-    m = models.early_stopping_boost(x, rounds=15)
+    m = models.early_stopping_boost(x)
     gain = models.importance_rows(spark, SMALL, m.featureImportances.toArray(), column="gain")
     return gain.join(models.split_counts(m, SMALL, spark), "feature")
 

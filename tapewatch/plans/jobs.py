@@ -11,7 +11,7 @@ from tapewatch.functions import scoring as sc
 from tapewatch.operators import desk, features as ft, forest as fo, lof, metrics, patterns
 from tapewatch.operators import series as se
 from tapewatch.plans.registry import MarketModels
-from tapewatch.schemas import FEATURES, PATTERNS, ZSCORED
+from tapewatch.schemas import FEATURES, MARKETS, PATTERNS, ZSCORED
 from tapewatch.session import cut
 from tapewatch.sources.validate import require_columns
 
@@ -46,6 +46,16 @@ def train_market(df: DataFrame, market: str, key: str, order: Sequence[str] = ("
     return MarketModels(market, forest=forest, baselines=cut(baselines, "baselines"), trained_at=trained_at), cut(scored, "scored")
 
 
+def train_markets(df: DataFrame, key: str, order: Sequence[str] = ("ts",), markets: Sequence[str] = tuple(MARKETS),
+                  **kw) -> tuple[list[MarketModels], DataFrame]:
+    """Every market by its own models: (models, scored rows of all markets)."""
+    trained = [train_market(df, market, key, order, **kw) for market in markets]
+    scored = trained[0][1]
+    for _, rows in trained[1:]:
+        scored = scored.unionByName(rows)
+    return [models for models, _ in trained], scored
+
+
 def weak_supervision(scored: DataFrame, patterns_: Sequence[str] = tuple(PATTERNS), trees: int = 200,
                      cutoff: float = patterns.CONFIDENCE_CUTOFF) -> tuple[patterns.PatternDetector, DataFrame, DataFrame]:
     """(detector, labelled rows, label statistics) from scored rows with both detectors' flags."""
@@ -55,6 +65,19 @@ def weak_supervision(scored: DataFrame, patterns_: Sequence[str] = tuple(PATTERN
     return detector, marked, patterns.label_statistics(labelled, cutoff)
 
 
+def supervise_markets(scored: DataFrame, markets: Sequence[str] = tuple(MARKETS), **kw) -> tuple[dict[str, patterns.PatternDetector], DataFrame]:
+    """(detectors, label statistics) per market. A market without a confident label has statistics but no detector."""
+    detectors, out = {}, None
+    for market in markets:
+        rows = scored.filter(F.col("market") == market)
+        stats = cut(patterns.label_statistics(patterns.weak_labels(rows.drop("detector_agreement"))), "label_statistics")
+        if stats.first().n_kept:
+            detectors[market], _, stats = weak_supervision(rows, **kw)
+        stats = stats.select(F.lit(market).alias("market"), "*")
+        out = stats if out is None else out.unionByName(stats)
+    return detectors, out
+
+
 FEW_POSITIVES = 10
 
 

@@ -115,3 +115,32 @@ def test_scaling_refuses_flat_columns(spark):
     df = spark.createDataFrame([(1.0,), (1.0,)], "x DOUBLE")
     with pytest.raises(Exception, match="without spread"):
         metrics.scale(df, ["x"], "min_max").collect()
+
+
+def test_training_takes_all_markets(spark, data, monkeypatch):
+    from tapewatch.catalog import jobs as catalog
+    from tapewatch.plans import jobs
+    from tapewatch.schemas import MARKETS
+
+    monkeypatch.setattr(jobs, "train_market", lambda df, market, *a, **kw: (market, df.filter(F.col("market") == market)))
+    models, scored = catalog._trained(spark, data)
+    assert models == MARKETS and {r.market for r in scored.select("market").distinct().collect()} == set(MARKETS)
+
+
+def test_training_takes_all_patterns_and_rounds(spark, data, monkeypatch):
+    from tapewatch.catalog import learning, load_all
+    from tapewatch.operators import models
+    from tapewatch.schemas import PATTERNS
+
+    n = learning.labelled_bars(spark, data).agg(*[F.sum(f"is_{p}").alias(p) for p in PATTERNS]).first()
+    assert all(n[p] > 10 for p in PATTERNS)
+    seen, boosting = [], models.boosting
+    monkeypatch.setattr(models, "boosting", lambda rounds, **kw: seen.append(rounds) or boosting(2, **kw))
+    assert load_all()["boosting_stages"].build(spark, data).count() == len(learning.SMALL) and seen == [1000]
+
+
+def test_weak_labels_are_trained_at_the_default_cutoff(spark, data):
+    """No weak label of the smallest tables is as sure as that, so no pattern is trained."""
+    from tapewatch.catalog import load_all
+
+    assert load_all()["weak_label_training"].build(spark, data).collect() == []

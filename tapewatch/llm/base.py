@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tapewatch.session import cut
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -43,7 +43,7 @@ def _powers(n: int) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, and the words of each row."""
-    word = ~_SPACE[data]
+    word = ~SPACE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = borders[:-1][borders[:-1] < len(data)]

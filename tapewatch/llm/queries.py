@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tapewatch.llm import mixing, packing, pii, quality, token_files, warc
+from tapewatch.llm.centroids import cluster_vectors
 from tapewatch.llm.graphs import near_vectors
 from tapewatch.llm.html import extract_main_text
+from tapewatch.llm.importance import importance_sample
 from tapewatch.llm.jaccard import jaccard_join
 from tapewatch.llm.substrings import remove_repeated
+from tapewatch.llm.voting import quality_votes
 from tapewatch.session import workspace
 
 
@@ -77,6 +80,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    rows = quality_votes(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold != 1)
+    return rows.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2)
+
+
+def op13_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), most=1, buckets=10_000, seed=2024,
+                             least_words=20, percent=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_graph_near_dedup": op2_graph_near_dedup,
@@ -88,8 +106,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_substrings": op8_repeated_substrings,
     "op9_fixity_audit": op9_fixity_audit,
     "op10_mix_sources": op10_mix_sources,
+    "op11_quality_votes": op11_quality_votes,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_importance_sample": op13_importance_sample,
 }
 
+
+def _clusters_sql(rounds: int = 5, k: int = 40) -> str:
+    """The rounds one after the other, each as two tables."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (SELECT vec_id, v, unnest(arg_min([c, d], [d, c], 1))[1] AS c, min(d) AS d FROM (
+  SELECT vec_id, v, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - x[i]) * (v[i] - x[i])))::BIGINT AS d FROM e, c{n}) GROUP BY vec_id, v)""")
+        steps.append(f"""s{n} AS (SELECT c, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS m FROM a{n}, range(1, 65) r(i) GROUP BY c, i),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(l, x) AS x FROM c{n} LEFT JOIN (SELECT c, list(m ORDER BY i) AS l FROM s{n} GROUP BY c) USING (c))""")
+    return f"""WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v AS x FROM e ORDER BY sha256('2:' || vec_id) LIMIT {k}),
+{", ".join(steps)}
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c"""
+
+
 SQL: dict[str, str] = {"op1_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -149,4 +187,24 @@ SELECT q.doc_id, q.source, q.size, t.source_size, t.target,
   CASE WHEN q.size = 0 THEN 0 ELSE (take // source_size) * size
     + greatest(0, least(start + size, take % source_size) - least(start, take % source_size)) END::BIGINT AS taken
 FROM q JOIN t ON t.source IS NOT DISTINCT FROM q.source
+""", "op12_centroid_clusters": _clusters_sql(), "op13_importance_sample": r"""
+WITH b AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+low AS (SELECT doc_id, coalesce(text, '') AS text, false AS aim FROM documents UNION ALL SELECT null, coalesce(text, ''), true FROM benchmark),
+w AS (SELECT row_number() OVER () AS n, doc_id, aim, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM low),
+d AS (SELECT DISTINCT unnest(l) AS word FROM w),
+y AS (SELECT word, list_transform(range(0, strlen(word)), lambda i: ('0x' || hex(encode(word))[2 * i + 1:2 * i + 2])::BIGINT) AS l FROM d),
+h AS (SELECT word, xor(list_reduce(l, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]), 4294967295), 4294967295) % 10000 AS bucket FROM y, b),
+f AS (SELECT n, doc_id, aim, bucket FROM (SELECT n, doc_id, aim, unnest(l) AS word FROM w) JOIN h USING (word)),
+c AS (SELECT bucket, count(*) FILTER (NOT aim) AS s, count(*) FILTER (aim) AS t FROM f GROUP BY bucket),
+z AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM c),
+g AS (SELECT bucket, floor(1000 * ln((c.t + 1.0::DOUBLE) * (z.s + 10000) / ((c.s + 1.0::DOUBLE) * (z.t + 10000))))::BIGINT AS gain FROM c, z),
+m AS (SELECT n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN g USING (bucket) GROUP BY n),
+v AS (SELECT w.doc_id, len(l)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  ('0x' || sha256('2024:' || w.doc_id)[1:8])::BIGINT AS h FROM w LEFT JOIN m USING (n) WHERE NOT aim),
+p AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM v),
+q AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+  floor(10 * count(*) OVER (PARTITION BY n_features >= 20) / 100) AS drawn FROM p)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM q
 """}

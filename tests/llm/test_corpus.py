@@ -17,7 +17,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, data, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     df, rel = QUERIES[name](spark, data), con.sql(SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)

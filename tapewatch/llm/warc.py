@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tapewatch.session import cut
 
 FANOUT = 16
+#: A part file's number at the start of its name and its count at the end. What is between names the job that wrote it.
+FILE_KEY = r"^part-\d+(?=-)|-c\d+(?=\.)"
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n")
 _LEAF = ("file string, number long, offset long, size long, record_id string, page_id long, url string, payload_size long, "
          "payload_sha256 string, intact boolean, leaf binary")
@@ -137,9 +139,9 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def read_leaves(spark: SparkSession, path: str, file_key: str = r"part-\d+(?=-)|-c\d+") -> DataFrame:
+def read_leaves(spark: SparkSession, path: str, file_key: str = FILE_KEY) -> DataFrame:
     """One row per record of a folder of WARC files, with its hash. ``file_key`` finds the parts of a file's name that are
-    the same in all replicas."""
+    the same in all replicas; a name without any stands for itself."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     key = F.array_join(F.regexp_extract_all(name, F.lit(file_key), F.lit(0)), "")
@@ -147,13 +149,16 @@ def read_leaves(spark: SparkSession, path: str, file_key: str = r"part-\d+(?=-)|
 
 
 class Tree:
-    """The nodes of a replica: ``levels[0]`` are leaves and ``levels[-1]`` is the root; each has (file, at, hash)."""
+    """The nodes of a replica: ``levels[0]`` are leaves and ``levels[-1]`` is the root; each has (file, at, hash).
 
-    def __init__(self, leaves: DataFrame) -> None:
+    A tree may be asked to be higher than its leaves need; its root then has a chain of single nodes above it.
+    """
+
+    def __init__(self, leaves: DataFrame, in_files: int = 0, over_files: int = 0) -> None:
         self.leaves = leaves
         self.levels = [leaves.select("file", F.col("number").alias("at"), F.col("leaf").alias("hash"))]
         most = leaves.agg(F.max("number")).first()[0] or 0
-        while most > 0:
+        while most > 0 or len(self.levels) < in_files:
             self.levels.append(cut(self._above(self.levels[-1]), "nodes"))
             most //= FANOUT
         self.of_files = len(self.levels)
@@ -163,7 +168,7 @@ class Tree:
         self.files = top.select("at", F.col("of").alias("file"))
         self.levels.append(top.select("file", "at", F.sha2(F.concat(F.col("of").cast("binary"), "hash"), 256).cast("binary").alias("hash")))
         most = top.agg(F.max("at")).first()[0] or 0
-        while most > 0:
+        while most > 0 or len(self.levels) - self.of_files < over_files:
             self.levels.append(cut(self._above(self.levels[-1]), "nodes"))
             most //= FANOUT
 
@@ -182,29 +187,28 @@ class Tree:
 def audit(one: Tree, other: Tree) -> DataFrame:
     """(file, number) of the leaves in which two replicas differ, or that only one of them has.
 
-    Trees of equal roots are not looked at further. Replicas with other numbers of files or longest files have other
-    heights; then the comparison starts at the first level that both have.
+    Trees of equal roots are not looked at further. Where one replica has more files, or longer ones, the lower tree is built
+    anew as high as the other, so that both are descended level by level.
     """
     empty = one.leaves.select("file", "number").limit(0)
     if one.root() == other.root():
         return empty
-    if one.of_files == other.of_files and len(one.levels) == len(other.levels):
-        wrong = None
-        for level in range(len(one.levels) - 1, -1, -1):
-            a, b = one.levels[level], other.levels[level]
-            if level == one.of_files - 1:  # from ranges of files to the files
-                names = one.files.unionAll(other.files).distinct()
-                wrong = wrong.select("at").join(names, "at").select("file").distinct()
-                a, b = (x.join(wrong, "file", "left_semi") for x in (a, b))
-            elif wrong is not None:
-                up = F.expr(f"at div {FANOUT}").alias("up")
-                keys = wrong.select("file", F.col("at").alias("up"))
-                a, b = (x.select("*", up).join(keys, ["file", "up"], "left_semi").select("file", "at", "hash") for x in (a, b))
-            both = a.join(b.withColumnRenamed("hash", "its"), ["file", "at"], "full")
-            wrong = cut(both.filter(~F.col("hash").eqNullSafe(F.col("its"))).select("file", "at"), "wrong")
-        return wrong.select("file", F.col("at").alias("number"))
-    both = one.levels[0].join(other.levels[0].withColumnRenamed("hash", "its"), ["file", "at"], "full")
-    return both.filter(~F.col("hash").eqNullSafe(F.col("its"))).select("file", F.col("at").alias("number"))
+    heights = [max(one.of_files, other.of_files), max(len(t.levels) - t.of_files for t in (one, other))]
+    one, other = (t if [t.of_files, len(t.levels) - t.of_files] == heights else Tree(t.leaves, *heights) for t in (one, other))
+    wrong = None
+    for level in range(len(one.levels) - 1, -1, -1):
+        a, b = one.levels[level], other.levels[level]
+        if level == one.of_files - 1:  # from ranges of files to the files
+            names = one.files.unionAll(other.files).distinct()
+            wrong = wrong.select("at").join(names, "at").select("file").distinct()
+            a, b = (x.join(wrong, "file", "left_semi") for x in (a, b))
+        elif wrong is not None:
+            up = F.expr(f"at div {FANOUT}").alias("up")
+            keys = wrong.select("file", F.col("at").alias("up"))
+            a, b = (x.select("*", up).join(keys, ["file", "up"], "left_semi").select("file", "at", "hash") for x in (a, b))
+        both = a.join(b.withColumnRenamed("hash", "its"), ["file", "at"], "full")
+        wrong = cut(both.filter(~F.col("hash").eqNullSafe(F.col("its"))).select("file", "at"), "wrong")
+    return wrong.select("file", F.col("at").alias("number"))
 
 
 def audit_folders(spark: SparkSession, one: str, other: str) -> DataFrame:

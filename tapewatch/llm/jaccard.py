@@ -10,8 +10,8 @@ drawn from a whole corpus separate nothing. The join therefore starts with proje
   into regions. Every link lies within a region.
 * Passages that many documents share can tie documents that do not link, so a region too large for one task is cut
   again: linked sets share an element among the rarest ``n - ceil(t n) + 1`` of each, rare meaning rare in the region.
-  Sets that share none of these part. This is repeated while regions shrink. Counts are kept in a table of fixed size;
-  they only order the elements, so a collision costs time, never a link.
+  Sets that share none of these part. This is repeated while regions shrink. Elements are counted by Spark, exactly; those
+  in one set only stand first in the order and are never posted.
 * Regions are joined by pivots: each document belongs to the Voronoi cell of its nearest pivot, and it is copied as
   a guest into every cell whose pivot is at most twice the radius farther away (triangle inequality). So the cell of
   a document holds all its partners. Cells are split again until they are small; a cell that pivots cannot split
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewatch.llm.base import byte_views, components, mix, only_members, pieces, shingle_sets, smallest_reachable
@@ -33,8 +33,6 @@ from tapewatch.session import cut
 #: Largest load of a cell that one task joins: shingles, and as many again as ROW for each document.
 CELL_LOAD, ROW = 4_000_000, 1_000
 PIVOTS = 16
-#: Buckets in which the shingles of large regions are counted, 4 bits each: 2 MiB, whatever the size of the regions.
-COUNT_BUCKETS, RANK_BLOCK = 1 << 22, 1 << 12
 _CLASSES: dict[tuple[int, int], list[int]] = {}
 
 
@@ -110,10 +108,14 @@ def _signatures(words: int):
 
 def _postings(words: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task posts equal sets once, so copies add no more rows to a key than there are tasks
         for batch in pieces(batches, 0):
             sets, borders = shingle_sets(*byte_views(batch.column(0)), words)
+            marks = _prints(sets, borders)
+            new = np.array([not (m in seen or seen.add(m)) for m in marks.tolist()], dtype=bool)
+            sets, borders = sets[np.repeat(new, np.diff(borders))], np.append(0, np.cumsum(np.diff(borders)[new]))
             row, key = part_keys(sets, borders, num, den)
-            yield pa.RecordBatch.from_arrays([_signed(key), _signed(_prints(sets, borders)[row])], ["key", "print"])
+            yield pa.RecordBatch.from_arrays([_signed(key), _signed(marks[new][row])], ["key", "print"])
     return run
 
 
@@ -140,8 +142,8 @@ def _sets(words: int):
             raw = [sets[borders[r]:borders[r + 1]].tobytes() for r in same.tolist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k).take(pa.array(same)) for k in (2, 0, 3)]
-                + [pa.array(np.diff(borders)[same]), pa.array(raw, pa.binary()), pa.array(np.ones(len(same), bool))],
-                ["cell", "print", "copies", "n", "shingles", "home"])
+                + [pa.array(np.diff(borders)[same]), pa.array(raw, pa.binary()), pa.array(np.ones(len(same), bool)), pa.array(np.zeros(len(same), bool))],
+                ["cell", "print", "copies", "n", "shingles", "home", "apart"])
     return run
 
 
@@ -150,71 +152,38 @@ def _named(cell: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return mix(shingles + mix(cell.view(np.uint64) + np.uint64(0x8CB92BA72F3D8DD7)))
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The shingles of all rows of (cell, print, shingles) as names, with the row of each and its borders."""
-    raw, borders = byte_views(batch.column(2))
-    sizes, cell = np.diff(borders) // 8, batch.column(0).to_numpy()
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    return _named(cell[row], np.frombuffer(raw.tobytes(), dtype=np.uint64)), row, borders // 8
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(print, name) of every shingle of (cell, print, shingles)."""
+    for batch in pieces(batches, 2):
+        raw, borders = byte_views(batch.column(2))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(borders) // 8)
+        name = _named(batch.column(0).to_numpy()[row], np.frombuffer(raw.tobytes(), dtype=np.uint64))
+        yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row)), _signed(name)], ["print", "name"])
 
 
-def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNT_BUCKETS, dtype=np.uint32)
-    for batch in batches:
-        for part in pieces([batch], 2):
-            np.add.at(total, (_flat(part)[0] % np.uint64(COUNT_BUCKETS)).astype(np.int64), 1)
-    at = np.flatnonzero(total)
-    for k in range(0, len(at), 1 << 16):
-        own = at[k:k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own].astype(np.int64))], ["bucket", "often"])
-
-
-def _rank_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs the ranks of each block of buckets; a block's rows are all in this task."""
-    found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if found:
-        bucket, often = (np.concatenate(x) for x in zip(*found))
-        rank = np.minimum(np.frexp(often.astype(np.float64))[1], 15).astype(np.uint8)
-        names, place = np.unique(bucket // RANK_BLOCK, return_inverse=True)
-        table = np.zeros((len(names), RANK_BLOCK), dtype=np.uint8)
-        table[place, bucket % RANK_BLOCK] = rank
-        packed = table[:, 0::2] | (table[:, 1::2] << 4)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in packed], pa.binary())], ["block", "ranks"])
-
-
-def _ranks(rows: DataFrame) -> bytes:
-    """For each bucket half a byte: 0 without shingles, 1 for one, and one more each time the count doubles."""
-    often = rows.mapInArrow(_bucket_counts, "bucket long, often long").groupBy("bucket").agg(F.sum("often").alias("often"))
-    blocks = often.repartition(F.expr(f"bucket div {RANK_BLOCK}")).mapInArrow(_rank_blocks, "block long, ranks binary")
-    table = bytearray(COUNT_BUCKETS // 2)
-    for row in blocks.collect():  # COUNT_BUCKETS / RANK_BLOCK rows at most
-        at = row["block"] * RANK_BLOCK // 2
-        table[at:at + RANK_BLOCK // 2] = row["ranks"]
-    return bytes(table)
-
-
-def _rare_postings(ranks: bytes, num: int, den: int):
-    """(key, print) for the rarest shingles of each set; linked sets of a cell have a key in common."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.frombuffer(ranks, dtype=np.uint8)
-        table = np.empty(COUNT_BUCKETS, dtype=np.uint8)
-        table[0::2], table[1::2] = packed & 15, packed >> 4
-        for batch in pieces(batches, 2):
-            name, row, borders = _flat(batch)
-            rank = table[(name % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
-            order = np.lexsort((name, rank, row))
-            sizes = np.diff(borders)
-            most = sizes - (num * sizes + den - 1) // den + 1
-            keep = (np.arange(len(name)) - borders[row] < most[row]) & (rank[order] > 1)  # of rank 1: in no other set
-            yield pa.RecordBatch.from_arrays(
-                [_signed(name[order][keep]), batch.column(1).take(pa.array(row[keep]))], ["key", "print"])
-    return run
+def _rare_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): linked sets of a cell are tied, for one of their rarest shingles is the same.
+
+    A set posts its ``n - ceil(t n) + 1`` rarest shingles; those that no other set of the cell has come first and need no post.
+    """
+    names = rows.select("cell", "print", "shingles").mapInArrow(_names, "print long, name long")
+    often = names.groupBy("name").agg(F.count("*").alias("often")).filter("often > 1")
+    shared = names.join(often, "name")
+    inner = Window.partitionBy("print")
+    shared = shared.withColumn("place", F.row_number().over(inner.orderBy("often", "name"))).withColumn("own", F.count("*").over(inner))
+    left = F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den))) + 1 - (F.col("n") - F.col("own"))
+    posts = cut(shared.join(rows.select("print", "n"), "print").filter(F.col("place") <= left).select("name", "print"), "posts")
+    low = posts.groupBy("name").agg(F.min("print").alias("low"))
+    return posts.join(low, "name").filter("print <> low").select(F.col("print").alias("a"), F.col("low").alias("b")).distinct()
 
 
 class _Cell:
-    """Joins the documents of one cell by pivots and windows; links counts the partners of each home document."""
+    """Joins the documents of one cell by pivots and windows; links counts the partners of each home document.
+
+    Home documents meet all others of the cell, or guests only where they meet each other in another cell (``apart``).
+    """
 
-    def __init__(self, sets: list[np.ndarray], copies: np.ndarray, home: np.ndarray, num: int, den: int) -> None:
+    def __init__(self, sets: list[np.ndarray], copies: np.ndarray, home: np.ndarray, num: int, den: int, apart: bool = False) -> None:
         self.num, self.den, self.copies = num, den, copies
         self.sizes = np.array([len(s) for s in sets])
         names, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -225,7 +194,7 @@ class _Cell:
         self.own = [number[p[shared[p]]] for p in (place[a:b] for a, b in zip(borders[:-1], borders[1:]))]
         self.links = np.zeros(len(sets), dtype=np.int64)
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        self._join(np.flatnonzero(home), np.arange(len(sets)))
+        self._join(np.flatnonzero(home), np.flatnonzero(~home) if apart else np.arange(len(sets)))
 
     def _common(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rows), len(others)), dtype=np.float32)
@@ -256,12 +225,13 @@ class _Cell:
         if len(rows) * len(others) <= 1 << 16:
             return self._direct(rows, others)
         pivots = rows[:: max(1, len(rows) // PIVOTS)]
-        common = self._common(pivots, others)
-        far = 1 - common / np.maximum(self.sizes[pivots][:, None] + self.sizes[others][None, :] - common, 1)
-        near, least = far.argmin(axis=0), far.min(axis=0)
-        window = far <= least + 2 * (1 - self.num / self.den) + 1e-6
-        mine = np.isin(others, rows, assume_unique=True)
-        cells = [(others[(near == k) & mine], others[window[k]]) for k in range(len(pivots))]
+        far = []
+        for which in (rows, others):
+            common = self._common(pivots, which)
+            far.append(1 - common / np.maximum(self.sizes[pivots][:, None] + self.sizes[which][None, :] - common, 1))
+        near = far[0].argmin(axis=0)
+        window = far[1] <= far[1].min(axis=0) + 2 * (1 - self.num / self.den) + 1e-6
+        cells = [(rows[near == k], others[window[k]]) for k in range(len(pivots))]
         if sum(len(a) * len(b) for a, b in cells) > 0.7 * len(rows) * len(others):
             return self._direct(rows, others)
         for a, b in cells:
@@ -302,7 +272,7 @@ def _join_cells(num: int, den: int):
             keep = keep[np.append(True, np.diff(mark[keep]) != 0)]
             sets = _arrays(table["shingles"].take(pa.array(keep)))
             mark, home = mark[keep], home[keep]
-            cell = _Cell(sets, table["copies"].to_numpy()[keep], home, num, den)
+            cell = _Cell(sets, table["copies"].to_numpy()[keep], home, num, den, table["apart"][0].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(mark[cell.roots()]), pa.array(cell.links)], ["print", "root", "links"])
     return run
 
@@ -310,13 +280,13 @@ def _join_cells(num: int, den: int):
 def _assign(num: int, den: int):
     """Gives each document its Voronoi cell, and guests' places in the cells within its window."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, pivots = None, []
+        cell, salt, pivots = None, None, []
         for batch in batches:
             out = []
             rows = zip(*(batch.column(k).to_pylist() for k in range(7)))
-            for at, _, kind, mark, copies, raw, home in rows:
-                if at != cell:
-                    cell, pivots = at, []
+            for at, part, kind, mark, copies, raw, home in rows:
+                if (at, part) != (cell, salt):
+                    cell, salt, pivots = at, part, []
                 own = np.frombuffer(raw, dtype=np.uint64)
                 if kind == 0:
                     pivots.append((mark, own))
@@ -325,15 +295,15 @@ def _assign(num: int, den: int):
                 far = 1 - common / (np.array([len(p) for _, p in pivots]) + len(own) - common)
                 for k in np.flatnonzero(far <= far.min() + 2 * (1 - num / den) + 1e-9).tolist():
                     name = int(mix(np.array([cell, pivots[k][0]]).view(np.uint64)[:1] + mix(np.array([pivots[k][0]]).view(np.uint64))).view(np.int64)[0])
-                    out.append((name, mark, copies, len(own), raw, home and k == int(far.argmin()), cell))
-            columns = list(zip(*out)) if out else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64()]
-            names = ["cell", "print", "copies", "n", "shingles", "home", "parent"]
+                    out.append((name, mark, copies, len(own), raw, home and k == int(far.argmin()), False, cell))
+            columns = list(zip(*out)) if out else [[]] * 8
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.int64()]
+            names = ["cell", "print", "copies", "n", "shingles", "home", "apart", "parent"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names)
     return run
 
 
-_CELLS = "cell long, print long, copies long, n long, shingles binary, home boolean"
+_CELLS = "cell long, print long, copies long, n long, shingles binary, home boolean, apart boolean"
 
 
 def _loads(cells: DataFrame) -> DataFrame:
@@ -347,9 +317,7 @@ def _part(cells: DataFrame, num: int, den: int, bound: int) -> DataFrame:
     done = []
     while not loads.isEmpty():
         done.append(cells.join(loads, "cell", "left_anti").select(*names))
-        rows = cells.join(loads, "cell").select("cell", "print", "shingles")
-        posts = rows.mapInArrow(_rare_postings(_ranks(rows), num, den), "key long, print long")
-        tied = components(posts.repartition("key").mapInArrow(_shared, "a long, b long").distinct())
+        tied = components(_rare_links(cells.join(loads, "cell"), num, den))
         tied = tied.withColumnRenamed("node", "print")
         made = cells.join(loads, "cell").withColumnRenamed("cell", "parent").join(tied, "print")
         made = cut(made.withColumn("cell", F.xxhash64("parent", "label")).drop("label"), "parted")
@@ -389,9 +357,9 @@ def _split(cells: DataFrame, num: int, den: int, bound: int) -> DataFrame:
             at = made.join(stuck, "cell").withColumn("blocks", count).withColumn("mine", F.pmod(F.xxhash64("print", F.lit(-1)), "blocks").cast("long"))
             other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other")  # hashed like mine
             every = at.select("*", other)
-            home = every.filter("home").withColumn("cell", F.xxhash64("cell", "mine", "other"))
-            guest = (every.filter((F.col("mine") != F.col("other")) | ~F.col("home"))
-                     .withColumn("cell", F.xxhash64("cell", "other", "mine")).withColumn("home", F.lit(False)))
+            apart = F.col("mine") != F.col("other")  # home documents of one block meet each other in the cell of both their blocks
+            home = every.filter("home").withColumns({"cell": F.xxhash64("cell", "mine", "other"), "apart": apart})
+            guest = every.filter(apart | ~F.col("home")).withColumns({"cell": F.xxhash64("cell", "other", "mine"), "apart": apart, "home": F.lit(False)})
             blocks = home.select(*names).unionAll(guest.select(*names))
             done = blocks if done is None else done.unionAll(blocks)
             made = made.join(stuck, "cell", "left_anti")

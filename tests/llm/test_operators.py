@@ -83,7 +83,7 @@ def test_regions_part_where_only_a_passage_is_shared(spark):
     shared = np.arange(1, 41, dtype=np.uint64)
     sets = [np.sort(np.concatenate([shared, rnd.integers(1 << 20, 1 << 62, 60).astype(np.uint64)])) for _ in range(60)]
     sets += [np.sort(np.append(s[:-5], rnd.integers(1 << 20, 1 << 62, 5).astype(np.uint64))) for s in sets[:20]]
-    rows = [(7, k, 1, len(s), s.tobytes(), True) for k, s in enumerate(sets)] + [(8, 100, 1, 1, shared[:1].tobytes(), True)]
+    rows = [(7, k, 1, len(s), s.tobytes(), True, False) for k, s in enumerate(sets)] + [(8, 100, 1, 1, shared[:1].tobytes(), True, False)]
     cells = spark.createDataFrame(rows, jaccard._CELLS)
     got = {r["print"]: r["cell"] for r in jaccard._part(cells, 4, 5, 30_000).collect()}
     assert got[100] == 8
@@ -92,6 +92,33 @@ def test_regions_part_where_only_a_passage_is_shared(spark):
     assert len({got.get(k) for k in range(20)}) > 10
 
 
+@pytest.mark.parametrize("bound, partitions", [(4_000_000, 4), (15_000, 1), (15_000, 7), (8_000, 7)])
+def test_split_cells_count_each_link_once(spark, bound, partitions):
+    """One region, cut by pivots and then by blocks: every home document meets every partner in one cell only."""
+    rnd = np.random.default_rng(9)
+    groups = [np.sort(rnd.integers(1, 1 << 62, 60).astype(np.uint64)) for _ in range(3)]
+    sets = []
+    for k in range(160):
+        own = groups[0 if k < 110 else 1 + k % 2].copy()
+        change = rnd.integers(0, 60, rnd.choice([1, 2, 3, 8, 20]))
+        own[change] = rnd.integers(1, 1 << 62, len(change)).astype(np.uint64)
+        sets.append(np.unique(own))
+    rows = [(7, k, 1 + k % 3, len(s), s.tobytes(), True, False) for k, s in enumerate(sets)]
+    want = {k: sum((1 + j % 3) * (5 * len(np.intersect1d(s, t)) >= 4 * len(np.union1d(s, t))) for j, t in enumerate(sets) if j != k) for k, s in enumerate(sets)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        cells = jaccard._split(spark.createDataFrame(rows, jaccard._CELLS), 4, 5, bound)
+        home = cells.filter("home").groupBy("cell").count()
+        assert (bound > 1_000_000) == (home.count() == 1)
+        assert cells.groupBy("cell", "print").count().filter("count > 1").isEmpty()
+        joined = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(jaccard._join_cells(4, 5), "print long, root long, links long")
+        got = {r["print"]: r["n"] for r in joined.groupBy("print").agg(F.sum("links").alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want
+
+
 def test_jaccard_join_of_odd_rows(spark):
     rows = [(r[0], r[1]) for r in ODD]
     assert sorted((tuple(r) for r in jaccard_join(odd(spark)).collect()), key=repr) == brute_join(rows, 5, 4, 5)
@@ -407,10 +434,26 @@ def test_fixity_audit(spark):
     assert len(same) == 403 and {r.status for r in same} == {"intact"}
     assert all(r.intact and r.payload_sha256 == hashlib.sha256((f"<p>\r\n\r\nWARC {str(r.page_id) * 30}" if r.payload_size else "").encode()).hexdigest() for r in same)
     assert [r.page_id for r in warc.audit_folders(spark, f"{folder}/a", f"{folder}/c").filter("status = 'changed'").orderBy("page_id").collect()] == [3, 250]
+    warc.write_warc(pages.filter("page_id < 40 or page_id = 250"), f"{folder}/d", records_per_file=7)  # other heights: more and shorter files
+    far = warc.audit_folders(spark, f"{folder}/a", f"{folder}/d").groupBy("status").count().collect()
+    one, other = (warc.read_leaves(spark, f"{folder}/{x}").select("file", "number", "leaf") for x in "ad")
+    kept = one.intersect(other).count()
+    gone = one.join(other.select("file", "number"), ["file", "number"], "left_semi").count() - kept
+    extra = other.join(one, ["file", "number"], "left_anti").count()
+    assert {r["status"]: r["count"] for r in far} == {k: v for k, v in (("intact", kept), ("changed", 403 - kept), ("extra", extra)) if v} and gone >= 0
     warc.write_warc(pages.limit(0), f"{folder}/none")
     assert warc.audit_folders(spark, f"{folder}/none", f"{folder}/none").collect() == []
 
 
+def test_file_keys_leave_out_the_job(spark):
+    rnd = random.Random(4)
+    jobs = ["c9068012-c000-4111-8111-c0ffee000000", "part-00000-c123-c456-c789"] + [str(__import__("uuid").UUID(int=rnd.getrandbits(128))) for _ in range(48)]
+    names = [(f"part-{k % 5:05d}-{job}-c{k % 3:03d}.txt.gz", f"part-{k % 5:05d}-c{k % 3:03d}") for k, job in enumerate(jobs)] + [("replica.warc", "")]
+    rows = spark.createDataFrame(names, "name string, want string")
+    key = F.array_join(F.regexp_extract_all("name", F.lit(warc.FILE_KEY), F.lit(0)), "")
+    assert rows.withColumn("key", key).filter("key <> want").collect() == []
+
+
 def test_damaged_files_are_read_on():
     one = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     got = list(warc.records(one + one.replace(b"Length: 3", b"Length: 9") + one + b"rest"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,7 +39,46 @@ def workspace(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="tapewatch-")
-    return f"{shared.rstrip('/')}/tapewatch-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/tapewatch-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
+
+
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Notes every folder that ``workspace`` names inside the block, for ``discard``."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN[:] = [m for m in _OPEN if m is not made]
+
+
+def _store(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def existing(spark: SparkSession, folders: list[str]) -> list[str]:
+    """Those of the folders that are there, on whatever store."""
+    found = []
+    for folder in folders:
+        store, path = _store(spark, folder)
+        if store.exists(path):
+            found.append(folder)
+    return found
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes noted folders; nothing that reads them may be evaluated any more."""
+    while folders:
+        store, path = _store(spark, folders.pop())
+        store.delete(path, True)
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -146,6 +146,47 @@ class PatternDetector:
         return PatternDetector(list(features), {p: RandomForestClassificationModel.load(f"{path}/{p}") for p in patterns})
 
 
+@dataclass
+class Scorecard:
+    """Logistic weights per pattern, scored as plain columns; it stands wherever a detector does.
+
+    ``models`` has an intercept (under the empty name) and weights by feature name for each pattern.
+    """
+
+    features: list[str]
+    models: dict[str, dict[str, float]]
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """Adds a probability per pattern; null where a feature is null."""
+        out = {}
+        for p, weights in self.models.items():
+            total = F.lit(float(weights.get("", 0.0)))
+            for f in self.features:
+                if f in weights:
+                    total = total + F.lit(float(weights[f])) * F.col(f)
+            out[f"proba_{p}"] = 1 / (1 + F.exp(-total))
+        return df.withColumns(out)
+
+    def pattern_scores(self) -> Column:
+        return F.create_map(*[e for p in self.models for e in (F.lit(p), F.col(f"proba_{p}"))])
+
+    def save(self, path: str) -> None:
+        rows = [(p, f, float(w)) for p, weights in self.models.items() for f, w in weights.items()]
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame(rows, "pattern STRING, feature STRING, weight DOUBLE").coalesce(1).write.parquet(f"{path}/scorecard")
+
+    @staticmethod
+    def load(path: str, patterns: Sequence[str], features: Sequence[str]) -> Scorecard:
+        from pyspark.sql import SparkSession
+
+        models: dict[str, dict[str, float]] = {p: {} for p in patterns}
+        for r in SparkSession.getActiveSession().read.parquet(f"{path}/scorecard").collect():  # a row for each weight
+            models[r.pattern][r.feature] = r.weight
+        return Scorecard(list(features), models)
+
+
 def flag_patterns(df: DataFrame, patterns: Sequence[str], thresholds: dict[str, float] | None = None) -> DataFrame:
     limits = thresholds or {}
     return df.withColumns({f"flag_{p}": (F.col(f"proba_{p}") >= limits.get(p, 0.5)).cast("int") for p in patterns})

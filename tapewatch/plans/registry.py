@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewatch.operators.forest import Forest
-from tapewatch.operators.patterns import PatternDetector
+from tapewatch.operators.patterns import PatternDetector, Scorecard
+from tapewatch.session import existing
 
 
 @dataclass
 class MarketModels:
     market: str
     forest: Forest | None = None
-    detector: PatternDetector | None = None
+    detector: PatternDetector | Scorecard | None = None
     baselines: DataFrame | None = None
     trained_at: str = "unknown"
     errors: dict[str, str] = field(default_factory=dict)
@@ -56,7 +57,8 @@ def load(spark: SparkSession, market: str, root: str) -> MarketModels:
 
     def detector():
         meta = spark.read.parquet(f"{path}/pattern_meta").first()
-        return PatternDetector.load(f"{path}/patterns", meta.patterns, meta.features)
+        kind = Scorecard if existing(spark, [f"{path}/patterns/scorecard"]) else PatternDetector
+        return kind.load(f"{path}/patterns", meta.patterns, meta.features)
 
     out.detector = attempt("patterns", detector)
     out.baselines = attempt("baselines", lambda: spark.read.parquet(f"{path}/baselines"))

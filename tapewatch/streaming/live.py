@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from tapewatch.operators import joins
 from tapewatch.plans import jobs
 from tapewatch.plans.registry import MarketModels
-from tapewatch.schemas import FEATURES, LIVE_HISTORY, MIN_HISTORY, TICK
-from tapewatch.sources import validate
+from tapewatch.schemas import FEATURES, MIN_HISTORY, TICK
+from tapewatch.session import existing
+from tapewatch.sources import feeds, validate
+from tapewatch.streaming import state
 
 WATERMARK = "10 minutes"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_tick_files(spark: SparkSession, folder: str, schema: T.StructType = TICK, fmt: str = "json",
@@ -38,110 +36,33 @@ def from_messages(stream: DataFrame, column: str = "value") -> DataFrame:
 
 
 def checked(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid ticks with event time, once per event id; dead letters with reasons)."""
-    valid, dead = validate.split(validate.check_ticks(stream))
-    timed = valid.withColumn("ts", F.timestamp_millis("timestamp_ms")).withWatermark("ts", WATERMARK)
-    return timed.dropDuplicatesWithinWatermark(["event_id"]), dead
-
-
-# --- per-symbol state --------------------------------------------------------
-
-def _rolling(x: np.ndarray, n: int) -> np.ndarray:
-    return x[-n:]
-
-
-def window_features(close: np.ndarray, volume: np.ndarray) -> list[float | None]:
-    """The fourteen features of the last row of one history, in schema order; None where unknown."""
-    n, c = len(close), close[-1]
-    diff = np.diff(close)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ret = np.where(close[:-1] != 0, close[1:] / np.where(close[:-1] != 0, close[:-1], 1) - 1, np.nan)
-
-    def change(k):
-        return c / close[-1 - k] - 1 if n > k and close[-1 - k] != 0 else None
-
-    def std(x, least=2):
-        x = x[~np.isnan(x)]
-        return float(x.std(ddof=1)) if len(x) >= least else None
-
-    v20 = _rolling(volume, 20)
-    mean_v = float(v20.mean())
-    r20 = ret[-20:] if n > 20 else ret[-(min(n, 20) - 1):] if n > 1 else ret[:0]
-    spread = std(r20)
-    steps = np.concatenate([[0.0], diff])[-14:]
-    tr = np.abs(diff)[-14:] if n > 14 else np.abs(diff)
-    rsi = None
-    if n >= 2:
-        gain, loss = np.maximum(steps, 0).mean(), np.maximum(-steps, 0).mean()
-        rsi = 50.0 if gain == 0 and loss == 0 else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
-    macd = None
-    if n >= 26:
-        k = np.arange(n - 1, -1, -1)
-        ema = []
-        for span in (12, 26):
-            a = 2.0 / (span + 1)
-            w = a * (1 - a) ** k
-            w[0] = (1 - a) ** (n - 1)
-            ema.append(float(w @ close))
-        macd = ema[0] - ema[1]
-    return [
-        change(1), math.log(c / close[-2]) if n > 1 and close[-2] > 0 and c > 0 else None, change(5), change(10),
-        float(c - close[-11]) if n > 10 else None, float(volume[-1] / mean_v) if mean_v else None, mean_v,
-        float(v20.std(ddof=1)) if len(v20) >= 2 else None, float((np.sign(np.nan_to_num(ret)) * volume[1:]).sum()),
-        spread * math.sqrt(252) if spread is not None else None, float(abs(diff[-1])) if n > 1 else None,
-        float(tr.mean()) if len(tr) >= 2 else None, rsi, macd,
-    ]
-
-
-FEATURE_ROW = T.StructType([
-    T.StructField("event_id", T.StringType()), T.StructField("symbol", T.StringType()), T.StructField("market", T.StringType()),
-    T.StructField("source", T.StringType()), T.StructField("timestamp_ms", T.LongType()), T.StructField("price", T.DoubleType()),
-    T.StructField("volume", T.DoubleType()), T.StructField("history", T.IntegerType()),
-    *[T.StructField(f, T.DoubleType()) for f in FEATURES],
-])
-
-
-class TickHistory(StatefulProcessor):
-    """Keeps the newest ticks of a symbol and emits the features of every arriving tick."""
-
-    def __init__(self, ttl_ms: int | None = None) -> None:
-        self._ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._ticks = handle.getListState("ticks", "ms BIGINT, price DOUBLE, volume DOUBLE", ttlDurationMs=self._ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        held = [tuple(t) for t in self._ticks.get()]
-        for pdf in rows:
-            out = []
-            for r in pdf.sort_values(["timestamp_ms", "event_id"]).itertuples(index=False):
-                held.append((int(r.timestamp_ms), float(r.price), float(r.volume)))
-                del held[:-LIVE_HISTORY]
-                series = sorted({ms: (p, v) for ms, p, v in held}.items())
-                values = np.array([pv for _, pv in series])
-                feats = window_features(values[:, 0], values[:, 1])
-                out.append((r.event_id, key[0], r.market, r.source, int(r.timestamp_ms), float(r.price), float(r.volume), len(series), *feats))
-            if out:
-                yield pd.DataFrame(out, columns=FEATURE_ROW.fieldNames())
-        self._ticks.put(held)
-
-    def close(self) -> None:
-        pass
-
-
-DAY_MS = 86_400_000
+    """(valid ticks, dead letters with reasons). Redelivered ticks are dropped in the state of their symbol."""
+    return validate.split(validate.check_ticks(stream))
+
+
+def feed_ticks(binance: DataFrame | None = None, bybit: DataFrame | None = None, alpaca: DataFrame | None = None, finnhub: DataFrame | None = None,
+               unified: DataFrame | None = None) -> DataFrame:
+    """Unified ticks of raw message streams (JSON text in ``value``), one per feed; ``unified`` brings ticks as they are."""
+    number = F.abs(F.xxhash64("value"))  # messages of a stream have no number
+    made = []
+    for raw, read in ((binance, feeds.crypto_a), (bybit, feeds.crypto_b), (finnhub, feeds.equity_b)):
+        if raw is not None:
+            made.append(read(raw.select("value", number.alias("message_no"))))
+    if alpaca is not None:
+        trades = alpaca.select(number.alias("message_no"), F.from_json("value", "symbol STRING, price DOUBLE, size DOUBLE, timestamp TIMESTAMP").alias("t"))
+        made.append(feeds.equity_a(trades.select("message_no", "t.*")))
+    if unified is not None:
+        made.append(from_messages(unified).drop("raw"))
+    out = None
+    for part in made:
+        part = part.select(*TICK.fieldNames())
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def tick_features(ticks: DataFrame, expire: bool = False) -> DataFrame:
-    """Streaming features; the batch twin is ``engineered_features(lookback=99)``.
-
-    ``expire`` drops the history of a symbol that was silent for a day. Expiry runs on processing time,
-    which keeps a query alive, so runs over the available input only leave it off.
-    """
-    ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return ticks.groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=TickHistory(DAY_MS if expire else None), outputStructType=FEATURE_ROW, outputMode="Append",
-        timeMode="ProcessingTime" if expire else "None")
+    """Streaming features; the batch twin is ``engineered_features(lookback=99)``."""
+    return state.live_rows(ticks, expire=expire).filter("kind = 'features'").drop("kind", "sentiment_score", "sentiment_ms", "reason")
 
 
 # --- sinks -------------------------------------------------------------------
@@ -153,14 +74,12 @@ def _append(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def _stored(spark: SparkSession, path: str, schema: T.StructType, days: list[str], batch_id: int) -> DataFrame:
-    """Rows stored by other batches on the given days; partitions of other days are not read."""
+    """Rows stored by other batches on the given days; the folders of other days are neither listed nor read."""
     have = T.StructType([*schema.fields, T.StructField("day", T.StringType()), T.StructField("batch_id", T.LongType())])
-    try:
-        return spark.read.schema(have).parquet(path).filter(F.col("day").isin(*days) & (F.col("batch_id") != batch_id))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    folders = existing(spark, [f"{path}/day={d}" for d in days])
+    if not folders:
         return spark.createDataFrame([], have)
+    return spark.read.schema(have).option("basePath", path).parquet(*folders).filter(F.col("batch_id") != batch_id)
 
 
 KEY = ["symbol", "timestamp_ms"]
@@ -194,36 +113,71 @@ def persist_and_publish(root: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def score_batch(models: list[MarketModels], baselines: DataFrame | None, sentiment: DataFrame | None, sink: Callable[[DataFrame, int], None],
-                threshold: float = 0.7) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch: history gate, latest sentiment, scoring; only scored rows over the threshold go on.
+#: Coverage codes of ticks of a streaming feed that no model could score.
+DISARMED = ("no_model_high_confidence", "no_baseline_high_confidence")
+
+
+def _whole(df: DataFrame, path: str) -> DataFrame:
+    """Writes a batch under its own folder, which a repeated batch replaces, and reads it back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def score_batch(models: list[MarketModels], baselines: DataFrame | None, root: str, threshold: float = 0.7) -> Callable[[DataFrame, int], None]:
+    """Per micro-batch: quarantine, history gate, scoring by forest and classifiers, alerts, and what could not be scored.
 
-    Rows that no model could score carry a coverage code; they are neither stored nor published."""
+    The state's rows are written once and read by all that follows; scoring is planned once. Rows with a coverage code are neither
+    stored nor published as anomalies; those of streaming feeds go to ``disarmed`` for the notices.
+    """
+    sink = persist_and_publish(root)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # one scan of the state output feeds several branches
-        batch = batch.persist()
-        try:
-            known = F.col("history") >= MIN_HISTORY
-            for f in FEATURES:
-                known = known & F.col(f).isNotNull()
-            rows = batch.filter(known).withColumn("ts", F.timestamp_millis("timestamp_ms"))
-            if sentiment is not None:
-                rows = joins.latest_value(rows, sentiment, ["symbol"], "ts", "sentiment_score", "sentiment")
-            scored = jobs.score_rows(rows, models, baselines, threshold)
-            sink(scored.filter("is_anomaly"), batch_id)
-        finally:
-            batch.unpersist()
+        rows = _whole(batch, f"{root}/rows/batch={batch_id}")
+        aside = rows.filter("kind = 'quarantine'").select("event_id", "symbol", "market", "source", "timestamp_ms", "price", "volume", "reason")
+        aside.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
+        known = (F.col("kind") == "features") & (F.col("history") >= MIN_HISTORY)
+        for f in FEATURES:
+            known = known & F.col(f).isNotNull()
+        scored = jobs.score_rows(rows.filter(known).drop("kind", "reason"), models, baselines, threshold)
+        wanted = F.col("is_anomaly") | F.coalesce(F.col("coverage").isin(*DISARMED), F.lit(False))
+        scored = _whole(scored.filter(wanted), f"{root}/scored/batch={batch_id}")
+        sink(scored.filter("is_anomaly"), batch_id)
+        scope = F.when(F.col("coverage") == DISARMED[0], F.col("market")).otherwise(F.concat(F.lit("baseline_"), "symbol"))
+        off = scored.filter(F.col("coverage").isin(*DISARMED)).select(scope.alias("scope"), "timestamp_ms")
+        off.distinct().write.mode("overwrite").parquet(f"{root}/disarmed/batch={batch_id}")
 
     return handle
 
 
+def _started(writer, available_now: bool) -> StreamingQuery:
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
+
+
 def start_detection(ticks: DataFrame, models: list[MarketModels], baselines: DataFrame | None, root: str, *, sentiment: DataFrame | None = None,
                     threshold: float = 0.7, available_now: bool = False) -> StreamingQuery:
-    valid, _ = checked(ticks)
-    writer = tick_features(valid, expire=not available_now).writeStream.outputMode("append").option("checkpointLocation", f"{root}/_checkpoint").foreachBatch(
-        score_batch(models, baselines, sentiment, persist_and_publish(root), threshold))
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
+    """Validated ticks through state and scoring to ``rows``, ``quarantine``, ``scored``, ``anomalies``, ``alerts`` and ``disarmed`` below ``root``.
+
+    ``sentiment`` is a stream of (symbol, timestamp_ms, event_id, sentiment_score); a tick carries the last score at or before its time.
+    """
+    rows = state.live_rows(validate.check_ticks(ticks), sentiment, expire=not available_now)
+    writer = rows.writeStream.outputMode("append").option("checkpointLocation", f"{root}/_checkpoint").foreachBatch(score_batch(models, baselines, root, threshold))
+    return _started(writer, available_now)
+
+
+def start_notices(spark: SparkSession, root: str, gap_ms: int = 300_000, available_now: bool = False) -> StreamingQuery:
+    """Notices that a market or symbol is ingested but not scored, from what the detection below ``root`` could not score."""
+    off = spark.readStream.schema(state.NOTICE).option("recursiveFileLookup", True).parquet(f"{root}/disarmed")
+    notices = state.throttled_notices(off, "scope", gap_ms=gap_ms)
+    writer = notices.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{root}/_notices_checkpoint").option("path", f"{root}/notices")
+    return _started(writer, available_now)
+
+
+def run_live(spark: SparkSession, ticks: DataFrame, models: list[MarketModels], baselines: DataFrame | None, root: str, *, sentiment: DataFrame | None = None,
+             threshold: float = 0.7, gap_ms: int = 300_000) -> None:
+    """The whole job over the available input: detection with its outputs, then the notices."""
+    start_detection(ticks, models, baselines, root, sentiment=sentiment, threshold=threshold, available_now=True).awaitTermination()
+    if existing(spark, [f"{root}/disarmed"]):
+        start_notices(spark, root, gap_ms, available_now=True).awaitTermination()
 
 
 def write_stream(df: DataFrame, path: str, mode: str = "append") -> StreamingQuery:
@@ -270,13 +224,6 @@ def alert_rate(events: DataFrame, on: str = "ts", seconds: int = 15) -> DataFram
     return counts.select(F.col("window.end").alias("at"), "n", F.round(F.col("n") * 60 / seconds).cast("bigint").alias("per_minute"))
 
 
-def throttled_notices(events: DataFrame, key: str, on: str = "ts", seconds: int = 300) -> DataFrame:
-    """At most one notice per key and time bucket; state is bounded by the watermark."""
-    bucket = F.floor(F.unix_seconds(on) / seconds)
-    marked = events.select(key, bucket.alias("bucket"), F.timestamp_seconds(bucket * seconds).alias("at"))
-    return marked.withWatermark("at", WATERMARK).dropDuplicatesWithinWatermark([key, "bucket"])
-
-
 def latest_sentiment(events: DataFrame) -> DataFrame:
     """Running latest score per symbol (update or complete output)."""
     return events.groupBy("symbol").agg(F.max_by("sentiment_score", F.struct("timestamp_ms", "event_id")).alias("sentiment_score"),

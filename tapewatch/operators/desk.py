@@ -306,3 +306,26 @@ def evidence_text(pack: DataFrame) -> DataFrame:
                       F.lit("\nCase Status: "), F.col("status"), F.lit("\nCreated At: "),
                       F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
     return pack.select("case_id", "step", F.when(F.col("step") == 1, header).alias("header"), block.alias("block"))
+
+
+def explain_stored(anomalies: DataFrame) -> DataFrame:
+    """Adds evidence, detector_agreement, weak_label_confidence and detection_result to stored anomalies, from what is stored.
+
+    ``features`` and ``pattern_scores`` are JSON text; null or empty text holds nothing. A row whose text is not JSON keeps null
+    in all four columns. Evidence without a signal is null, and so is the result of a row without signals and patterns.
+    """
+    texts = ("features", "pattern_scores")
+    readable = F.lit(True)
+    for c in texts:
+        readable = readable & (F.coalesce(F.col(c), F.lit("")).isin("") | F.try_parse_json(c).isNotNull())
+    rows = anomalies.withColumns({f"_{c}": F.from_json(c, "map<string,double>") for c in texts}).withColumn("_readable", readable)
+    rows = rows.withColumn("_scores", F.when(F.size("_pattern_scores") > 0, F.col("_pattern_scores")))
+    agreement = sc.agreement_live("if_score", "mp_score")
+    rows = rows.withColumn("detector_agreement", F.when(F.col("_readable"), agreement))
+    signals = sc.evidence("if_score", "mp_score", feature=lambda name: F.try_element_at("_features", F.lit(name)), dual=F.col("detector_agreement"))
+    rows = rows.withColumns({"_signals": signals, "weak_label_confidence": F.when(F.col("_readable"), sc.label_confidence("_scores", "detector_agreement"))})
+    result = sc.detection_result(F.col("_scores"), "weak_label_confidence", "anomaly_score", "detector_agreement", F.lit("stored"), "_signals")
+    some = F.size("_signals") > 0
+    rows = rows.withColumns({"evidence": F.when(F.col("_readable") & some, F.col("_signals")),
+                             "detection_result": F.when(F.col("_readable") & (some | F.col("_scores").isNotNull()), result)})
+    return rows.drop("_features", "_pattern_scores", "_scores", "_signals", "_readable")

@@ -172,11 +172,50 @@ def score_rows(df: DataFrame, models: list[MarketModels], baselines: DataFrame |
 
 def detect_batch(bars: DataFrame, models: list[MarketModels], baselines: DataFrame | None, *, order: Sequence[str] = ("ts",),
                  by: Sequence[str] = ("user_id", "market", "symbol"), lookback: int = 30, threshold: float = 0.7, **kw) -> DataFrame:
-    """One plan over all stored bars: trailing features, status, scores."""
+    """One plan over all stored bars: trailing features, status, scores. Bars without the history for their features keep
+    their status and have no score."""
     f = ft.engineered_features(bars, by=by, order=order, lookback=lookback, keep_position=True, **kw)
     f = f.withColumn("status", ft.feature_status(f)).drop("_pos")
     ready = score_rows(f.filter("status = 'ok'"), models, baselines, threshold)
-    return ready
+    short = f.filter("status <> 'ok'").withColumns({"is_anomaly": F.lit(False), "has_baseline": F.lit(None).cast("boolean")})
+    return ready.unionByName(short, allowMissingColumns=True)
+
+
+def stored_form(scored: DataFrame, key: str) -> DataFrame:
+    """Scored rows as they are stored: raw features and pattern scores as JSON text. Rows without a score are not stored."""
+    return scored.filter("anomaly_score IS NOT NULL").select(
+        F.col(key).alias("anomaly_id"), "market", "symbol", "anomaly_score", "is_anomaly", "if_score", "mp_score", "model_version",
+        F.to_json("pattern_scores").alias("pattern_scores"), F.to_json(F.struct(*FEATURES)).alias("features"))
+
+
+def weak_label_quality(weak: DataFrame, test: DataFrame, true_detector, weak_detector, true: str = "true_pattern", flag: str = "if_flag",
+                       patterns_: Sequence[str] = tuple(PATTERNS)) -> DataFrame:
+    """What weak labels cost, as one report (section, pattern, other, n, value).
+
+    ``detector_recall``: share of the true rows of a pattern that were flagged at all; ``attribution_accuracy`` and
+    ``attribution``: of flagged true rows, the share with the right pattern, and counts by true and attributed pattern;
+    ``auc_true_labels``, ``auc_weak_labels``, ``auc_lost``: both detectors on the true labels of ``test``, .5 where the weak
+    labels trained none. ``weak`` has the columns of ``patterns.weak_labels``, both tables the true pattern (null: none).
+    """
+    nothing = F.lit(None).cast("string")
+    marks = {f"is_{p}": F.coalesce(F.col(true) == p, F.lit(False)).cast("int") for p in patterns_}
+    recall = metrics.recall_by_pattern(weak.drop(*marks).withColumns(marks), {p: f"is_{p}" for p in patterns_}, flag)
+    hit = weak.filter(F.col(true).isNotNull() & (F.col("is_manipulation") == 1))
+    counts = hit.groupBy(F.col(true).alias("pattern"), F.col("attributed_pattern").alias("other")).agg(F.count("*").alias("n"))
+    right = metrics.attribution_accuracy(weak, true, "attributed_pattern", "is_manipulation")
+
+    def aucs(detector) -> DataFrame:
+        known = [p for p in patterns_ if p in detector.models]
+        scored = detector.predict_proba(test.drop(*marks).withColumns(marks))
+        return metrics.auc(patterns.detector_rows(scored, known), ["pattern"])
+
+    lost = cut(metrics.auc_lost(aucs(true_detector), aucs(weak_detector)), "auc_lost")
+    sections = {"auc_true_labels": "auc_true", "auc_weak_labels": "auc_weak", "auc_lost": "auc_lost"}
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("section"), F.col(c).alias("value")) for k, c in sections.items()])).alias("c")
+    return (recall.select(F.lit("detector_recall").alias("section"), "pattern", nothing.alias("other"), F.col("n_total").alias("n"), F.col("detection_rate").alias("value"))
+            .unionAll(right.select(F.lit("attribution_accuracy"), nothing, nothing, "n", "accuracy"))
+            .unionAll(counts.select(F.lit("attribution"), "pattern", "other", "n", F.lit(None).cast("double")))
+            .unionAll(lost.select("pattern", cells).select("c.section", "pattern", nothing, F.lit(None).cast("long"), "c.value")))
 
 
 def case_report(cases: DataFrame, links: DataFrame, anomalies: DataFrame, bars: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tapewatch.catalog.scoring import fixed_forest
 from tapewatch.operators import forest as fo
 from tapewatch.operators import lof, metrics, patterns
+from tapewatch.session import workspace
 from tapewatch.sources.validate import refuse_identity
 
 
@@ -144,3 +145,19 @@ def test_weak_labels_are_trained_at_the_default_cutoff(spark, data):
     from tapewatch.catalog import load_all
 
     assert load_all()["weak_label_training"].build(spark, data).collect() == []
+
+
+def test_scorecard_is_stored_and_a_broken_forest_does_not_stop_it(spark):
+    from tapewatch.operators.patterns import Scorecard
+    from tapewatch.plans import registry
+
+    root = workspace(spark)
+    card = Scorecard(["return", "rsi_14d"], {"spoofing": {"": -1.0, "rsi_14d": 0.02}, "layering": {"return": 2.0}})
+    registry.save(spark, registry.MarketModels("CRYPTO", detector=card, trained_at="now"), root)
+    spark.createDataFrame([("not a forest",)], "x string").write.parquet(f"{root}/CRYPTO/forest")
+    back = registry.load(spark, "CRYPTO", root)
+    assert back.forest is None and "forest" in back.errors and back.loaded and back.trained_at == "now"
+    assert back.detector == Scorecard(["return", "rsi_14d"], {"spoofing": {"": -1.0, "rsi_14d": 0.02}, "layering": {"return": 2.0}})
+    rows = spark.createDataFrame([(0.0, 50.0), (None, 50.0)], "`return` double, rsi_14d double")
+    got = back.detector.predict_proba(rows).select("proba_spoofing", "proba_layering").collect()
+    assert [tuple(r) for r in got] == [(0.5, 0.5), (0.5, None)]

@@ -289,8 +289,7 @@ def auc_lost(spark, d):
     return out.select("pattern", *[F.round(c, 9).alias(c) for c in ("auc_true", "auc_weak", "auc_lost")])
 
 
-@query("information_gain", "A32",
-       """WITH d AS (SELECT quality AS y, n_chars::DOUBLE AS n_chars, (n_chars % 97)::DOUBLE AS rest FROM labels JOIN documents USING (doc_id)),
+GAIN_SQL = """d AS (SELECT quality AS y, n_chars::DOUBLE AS n_chars, (n_chars % 97)::DOUBLE AS rest FROM labels JOIN documents USING (doc_id)),
        l AS (SELECT 'n_chars' AS feature, n_chars AS v, y FROM d UNION ALL SELECT 'rest', rest, y FROM d),
        c AS (SELECT feature, v, count(*) AS n, sum(y) AS p FROM l GROUP BY 1, 2),
        k AS (SELECT feature, v, sum(n) OVER w AS nl, sum(p) OVER w AS pl, sum(n) OVER f AS n, sum(p) OVER f AS p FROM c
@@ -301,13 +300,22 @@ def auc_lost(spark, d):
          (CASE WHEN a IN (0, 1) THEN 0 ELSE -a * log2(a) - (1 - a) * log2(1 - a) END)
          - nl / n * (CASE WHEN b IN (0, 1) THEN 0 ELSE -b * log2(b) - (1 - b) * log2(1 - b) END)
          - nr / n * (CASE WHEN c IN (0, 1) THEN 0 ELSE -c * log2(c) - (1 - c) * log2(1 - c) END), 12) AS gain FROM h),
-       r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, v) AS i FROM g)
-       SELECT feature, v AS split, round(gain, 9) AS gain FROM r WHERE i = 1""")
+       r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, v) AS i FROM g)"""
+
+
+@query("information_gain", "A32", f"WITH {GAIN_SQL} SELECT feature, v AS split, round(gain, 9) AS gain FROM r WHERE i = 1")
 def information_gain(spark, d):
     x = doc_scores(spark, d).withColumn("rest", F.col("n_chars") % 97)
     return metrics.best_split(x, ["n_chars", "rest"], "quality").withColumn("gain", F.round("gain", 9))
 
 
+@query("overall_best_split", "A32 M16",
+       f"WITH {GAIN_SQL} SELECT feature, v AS split, round(gain, 9) AS gain FROM r WHERE i = 1 ORDER BY r.gain DESC, feature <> 'n_chars' LIMIT 1")
+def overall_best_split(spark, d):
+    x = doc_scores(spark, d).withColumn("rest", F.col("n_chars") % 97)
+    return metrics.best_overall_split(x, ["n_chars", "rest"], "quality").withColumn("gain", F.round("gain", 9))
+
+
 @query("anova_f", "A33 T-7",
        """WITH d AS (SELECT quality AS y, n_chars::DOUBLE AS n_chars, (n_chars % 97)::DOUBLE AS rest FROM labels JOIN documents USING (doc_id)),
        l AS (SELECT 'n_chars' AS feature, n_chars AS v, y FROM d UNION ALL SELECT 'rest', rest, y FROM d),

@@ -199,6 +199,12 @@ def best_split(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return splits.groupBy("feature").agg(best).select("feature", (-F.col("_b._v")).alias("split"), F.col("_b.gain").alias("gain"))
 
 
+def best_overall_split(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """The split with the largest gain of all features; on a tie the feature that is listed first, then the smaller value."""
+    place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
+    return best_split(df, features, label).orderBy(F.col("gain").desc(), place, "split").limit(1)
+
+
 def anova_f(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """One-way F statistic per feature from one grouped pass over centred values."""
     means = df.agg(*[F.avg(f).alias(f"_m_{f}") for f in features])
@@ -245,11 +251,10 @@ def scale(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     elif kind == "min_max":
         stats = df.agg(*[e for c in columns for e in (F.min(c).alias(f"_a_{c}"), (F.max(c) - F.min(c)).alias(f"_b_{c}"))])
     elif kind == "robust":
-        stats = None
-        for c in columns:
-            q = o.quantiles(df, c, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).select(
-                F.col("q2").alias(f"_a_{c}"), (F.col("q3") - F.col("q1")).alias(f"_b_{c}"))
-            stats = q if stats is None else stats.crossJoin(F.broadcast(q))
+        cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+        q = o.quantiles(df.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*"), "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, ["column"])
+        stats = q.agg(*[e for c in columns for e in (F.max(F.when(F.col("column") == c, F.col("q2"))).alias(f"_a_{c}"),
+                                                     F.max(F.when(F.col("column") == c, F.col("q3") - F.col("q1"))).alias(f"_b_{c}"))])
     else:
         raise ValueError(kind)
     spread = F.when(F.col("_s") == 0, F.raise_error(F.lit("column without spread"))).otherwise(F.col("_s"))

@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapewatch.session import cut
+
 SLICE_ROWS = 1 << 20
-VALUE_BINS = 4096
+#: Distinct values that one task sorts at most, and the bins into which a fuller one is cut at once.
+BIN_ROWS, BIN_WAYS = 1 << 18, 64
 
 
 @dataclass(frozen=True)
@@ -188,21 +191,43 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: di
     return df.drop(*[f"_x_{k}" for k in sums], *[f"_o_{k}" for k in sums])
 
 
-def cumulative_by_value(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str],
-                        bins: int = VALUE_BINS) -> DataFrame:
+def value_bins(df: DataFrame, by: Sequence[str], value: str, rows: int = BIN_ROWS, ways: int = BIN_WAYS) -> DataFrame | None:
+    """Adds ``_bin``, which grows with the value within a group, so that no bin has more than ``rows`` rows; None where no group has more.
+
+    Bins that are too full are cut at quantiles of a mergeable sketch, again until none is. Outliers do not matter, since
+    cuts follow the rows. ``df`` has one row for each (by, value) and is read several times.
+    """
+    by = list(by)
+    keys, binned = [*by, "_bin"], df.withColumn("_bin", F.lit(0).cast("bigint"))
+    sizes = binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows)
+    if sizes.isEmpty():
+        return None
+    while True:
+        shares = [k / ways for k in range(1, ways)]
+        cuts = binned.join(sizes, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(value, shares, 100 * ways).alias("_cuts"))
+        beyond = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value)))
+        binned = binned.join(cuts, keys, "left").withColumn("_bin", F.col("_bin") * ways + F.when(F.col("_cuts").isNull(), 0).otherwise(beyond))
+        binned = cut(binned.drop("_cuts"), "bins")
+        sizes = binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows)
+        if sizes.isEmpty():
+            return binned
+
+
+def cumulative_by_value(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], rows: int = BIN_ROWS) -> DataFrame:
     """For one row per (by, value): ``<c>_before`` and ``<c>_total`` of every summed column.
 
-    The value range of a group is cut in ``bins`` equal parts. Their totals form a small table
-    whose running sum gives each part its offset, so no task sorts a whole group.
+    Groups of more than ``rows`` rows are cut in bins. Their totals form a small table whose running sum gives each bin its
+    offset, so no task sorts more than ``rows`` rows of a group.
     """
     by = list(by) or ["_all"]
-    keyed = df.withColumn("_all", F.lit(0)) if by == ["_all"] else df
-    spread = keyed.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    part = F.when(F.col("_hi") > F.col("_lo"), F.least(
-        F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(0)
-    binned = keyed.join(spread, by).withColumn("_bin", part.cast("int")).drop("_lo", "_hi")
-    earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = cut(df.withColumn("_all", F.lit(0)) if by == ["_all"] else df, "values")
+    binned = value_bins(keyed, by, value, rows)
     whole = Window.partitionBy(*by)
+    if binned is None:
+        w = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        out = keyed.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in sums} | {f"{c}_total": F.sum(c).over(whole) for c in sums})
+        return out.drop("_all")
+    earlier = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = binned.groupBy(*by, "_bin").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     offsets = totals.select(*by, "_bin", *[
         F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums], *[
@@ -213,12 +238,11 @@ def cumulative_by_value(df: DataFrame, by: Sequence[str], value: str, sums: Sequ
     return out.drop("_bin", "_all", *[f"_o_{c}" for c in sums])
 
 
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
-              bins: int = VALUE_BINS) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), rows: int = BIN_ROWS) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group, one column per probability."""
     by = list(by)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = cumulative_by_value(counts, by, value, ["_n"], bins)
+    ranked = cumulative_by_value(counts, by, value, ["_n"], rows)
     first, last, n = F.col("_n_before"), F.col("_n_before") + F.col("_n"), F.col("_n_total")
 
     def at(k: Column) -> Column:

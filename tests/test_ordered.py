@@ -73,7 +73,7 @@ def test_sliced_operators(ticks, make):
 def test_quantiles_with_ties_and_skewed_values(spark):
     x = np.concatenate([np.repeat(0.5, 700), np.random.default_rng(1).exponential(1, 311) ** 4])
     df = spark.createDataFrame([(float(v),) for v in x], "v DOUBLE").repartition(7)
-    got = o.quantiles(df, "v", {"a": 0.0, "b": 0.33, "c": 0.95, "d": 1.0}, bins=16).first()
+    got = o.quantiles(df, "v", {"a": 0.0, "b": 0.33, "c": 0.95, "d": 1.0}, rows=16).first()
     np.testing.assert_allclose([got.a, got.b, got.c, got.d], np.quantile(x, [0, 0.33, 0.95, 1]), rtol=1e-12)
 
 
@@ -116,3 +116,19 @@ def test_newest_and_first(ticks):
     assert last.count() == 9 and last.filter("k = 1").count() == 3
     one = o.first_per_key(ticks, ["symbol"], [-F.col("event_id")])
     assert sorted(r.event_id for r in one.collect()) == [2599, 2899, 2919]
+
+
+def test_one_outlier_does_not_fill_a_bin(spark):
+    """10,000 close values and one far away: every bin keeps to its bound, and ranks and quantiles are exact."""
+    rows = spark.range(10_000).select(F.lit("g").alias("g"), (F.sqrt("id") / 1000).alias("v")).unionAll(
+        spark.createDataFrame([("g", 1e12), ("h", 3.0)], "g string, v double"))
+    binned = o.value_bins(rows, ["g"], "v", rows=100, ways=8)
+    sizes = binned.groupBy("g", "_bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("g", "lo").collect()
+    assert max(r.n for r in sizes) <= 100 and sum(r.n for r in sizes) == 10_002
+    for a, b in zip(sizes, sizes[1:]):
+        assert a.g != b.g or (a._bin < b._bin and a.hi < b.lo)
+    ranked = o.cumulative_by_value(rows.withColumn("n", F.lit(1)), ["g"], "v", ["n"], rows=100)
+    got = [r.n_before for r in ranked.filter("g = 'g'").orderBy("v").collect()]
+    assert got == list(range(10_001)) and {r.n_total for r in ranked.collect()} == {10_001, 1}
+    q = o.quantiles(rows.filter("g = 'g'"), "v", {"half": 0.5, "top": 0.9999}, rows=100).first()
+    assert abs(q.half - 5000 ** 0.5 / 1000) < 1e-12 and abs(q.top - 9999 ** 0.5 / 1000) < 1e-12

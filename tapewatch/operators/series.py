@@ -242,9 +242,8 @@ def cross_products(df: DataFrame, by: Sequence[str], inputs: Sequence[str],
         def flush():
             if not sums:
                 return
-            m = np.vstack([v.ravel() for v in sums.values()])
             out = pd.DataFrame(list(sums), columns=by)
-            out["xx"] = list(m)
+            out["xx"] = [m[np.triu_indices(len(m))] for m in sums.values()]
             sums.clear()
             yield out
 
@@ -259,10 +258,39 @@ def cross_products(df: DataFrame, by: Sequence[str], inputs: Sequence[str],
                 yield from flush()
         yield from flush()
 
-    parts = df.select(*by, *inputs).mapInPandas(partial, f"{keys}, xx ARRAY<DOUBLE>")
-    cells = parts.select(*by, F.posexplode("xx").alias("_i", "_v")).groupBy(*by, "_i").agg(F.sum("_v").alias("_v"))
-    return cells.groupBy(*by).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda c: c["_v"]).alias("xx"))
+    def merged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Adds up the triangles of each series; a series' rows follow each other, so one sum is open at a time."""
+        upper = np.triu_indices(width)
+        key, total = None, None
+
+        def whole(keys: list[tuple], sums: list[np.ndarray]) -> pd.DataFrame:
+            out = pd.DataFrame(keys, columns=by)
+            flat = np.zeros((len(sums), width, width))
+            flat[:, upper[0], upper[1]] = flat[:, upper[1], upper[0]] = np.vstack(sums)
+            out["xx"] = list(flat.reshape(len(sums), -1))
+            return out
+
+        for pdf in parts:
+            if pdf.empty:
+                continue
+            keys, sums = [], []
+            names = list(pdf[by].itertuples(index=False, name=None))
+            first = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1])]
+            added = np.add.reduceat(np.vstack(pdf["xx"].to_numpy()), first, axis=0)
+            for at, own in zip(first, added):
+                if key is not None and names[at] != key:
+                    keys.append(key)
+                    sums.append(total)
+                    total = None
+                key, total = names[at], own if total is None else total + own
+            if keys:
+                yield whole(keys, sums)
+        if key is not None:
+            yield whole([key], [total])
+
+    schema = f"{keys}, xx ARRAY<DOUBLE>"
+    parts = df.select(*by, *inputs).mapInPandas(partial, schema)
+    return parts.repartition(*by).sortWithinPartitions(*by).mapInPandas(merged, schema)
 
 
 def _solve(g: np.ndarray, y: int, xs: list[int]) -> tuple[np.ndarray, float, np.ndarray] | None:

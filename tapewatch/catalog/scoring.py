@@ -355,7 +355,7 @@ LOF_SQL = """p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings
 
 @query("nearest_neighbours", "J11", f"WITH {LOF_SQL} SELECT id AS vec_id, rk AS rank, nb AS neighbour, round(d, 7) AS distance FROM k")
 def nearest_neighbours(spark, d):
-    out = lof.knn(t.read(spark, d, "embeddings"), "vec_id", "embedding", 20, pivots=16, block=200)
+    out = lof.knn(t.read(spark, d, "embeddings"), "vec_id", "embedding", 20)
     return out.select(F.col("id").alias("vec_id"), "rank", "neighbour", F.round("distance", 7).alias("distance"))
 
 
@@ -364,5 +364,5 @@ def nearest_neighbours(spark, d):
        c AS (SELECT quantile_cont(lof_score, 0.95) AS cut FROM s)
        SELECT vec_id, round(lof, 7) AS lof, round(lof_score, 7) AS lof_score, CAST(lof_score >= cut AS INT) AS lof_flag FROM s, c""")
 def local_outlier_factor(spark, d):
-    out = lof.fit_flag(t.read(spark, d, "embeddings"), "vec_id", "embedding", 20, 0.05, pivots=16, block=200)
+    out = lof.fit_flag(t.read(spark, d, "embeddings"), "vec_id", "embedding", 20, 0.05)
     return out.select("vec_id", F.round("lof", 7).alias("lof"), F.round("lof_score", 7).alias("lof_score"), "lof_flag")

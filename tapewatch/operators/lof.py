@@ -1,9 +1,10 @@
 """Exact k nearest neighbours and local outlier factors without comparing all pairs of rows.
 
-Rows are assigned to the nearest of a fixed number of pivots. From the pivot distances each cell
-knows an upper bound of its members' k-th neighbour distance, and a row is sent only to cells that
-it could serve within that bound (triangle inequality). Big cells are cut in blocks of fixed size
-on both sides, so a task never holds more than two blocks.
+Distinct vectors are dealt to balls, the leaves of a tree that a bounded sample is split into. A row first searches its own
+ball, which bounds the distance of its k-th neighbour. Then it visits the other balls nearest first, a few in each round; every
+round lowers the bound, and a ball whose nearest possible point is beyond it is never visited (triangle inequality).
+Rows of equal vectors share one search, and only the smallest ids of a group can be neighbours, so a group of copies costs
+no more than one vector.
 """
 
 from __future__ import annotations
@@ -18,6 +19,11 @@ from pyspark.sql import functions as F
 from tapewatch.operators import metrics
 from tapewatch.session import cut
 
+#: Vectors of a ball as a rule, and balls at most: their centres go to every task, and beyond them balls get larger.
+BALL_ROWS, MOST_BALLS, SAMPLE_ROWS = 1024, 4096, 16
+#: Queries of a ball that one task searches at a time, and balls that a row visits in the first round; four times as many in the next.
+BLOCK, FIRST_BALLS = 4096, 4
+
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances from differences, in slabs of rows."""
@@ -29,78 +35,118 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def knn(df: DataFrame, key: str, vector: str, k: int, *, pivots: int = 64, block: int = 2000, seed: int = 42) -> DataFrame:
-    """The k nearest other rows of every row: (id, neighbour, distance, rank). Ties go to the smaller id."""
-    points = cut(df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x")), "points")
-    chosen = points.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pivots).collect()
-    p = np.array([r.x for r in chosen])
-    pp = _distances(p, p)
+def _centres(sample: np.ndarray, count: int) -> np.ndarray:
+    """Means of ``count`` parts of the sample; the largest part is halved between two of its far points, again and again."""
+    parts = [sample]
+    while len(parts) < count:
+        k = max(range(len(parts)), key=lambda i: len(parts[i]))
+        own = parts.pop(k)
+        a = own[((own - own.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+        b = own[((own - a) ** 2).sum(axis=1).argmax()]
+        order = np.argsort(own @ (b - a), kind="stable")
+        parts += [own[order[:len(own) // 2]], own[order[len(own) // 2:]]]
+    return np.array([p.mean(axis=0) for p in parts])
 
-    def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            if len(pdf):
-                d = _distances(np.vstack(pdf["x"].to_numpy()), p)
-                cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype("int32"), dp=d[np.arange(len(d)), cell])
-
-    celled = cut(points.mapInPandas(assign, "id BIGINT, x ARRAY<DOUBLE>, cell INT, dp DOUBLE"), "cells")
-    near = Window.partitionBy("cell").orderBy("dp", "id")
-    nearest = (celled.select("cell", "dp", "id").withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k + 1)
-               .groupBy("cell").agg(F.collect_list("dp").alias("ds")))
-    stats = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dp").alias("radius")).join(nearest, "cell").collect()
-    n_cells = len(p)
-    radius, size = np.zeros(n_cells), np.zeros(n_cells, dtype=int)
-    for r in stats:
-        radius[r.cell], size[r.cell] = r.radius, r.n
-    # bound[i]: no member of cell i has its k-th neighbour further away (its own row is one of the k + 1)
-    bound = np.full(n_cells, np.inf)
-    for i in np.flatnonzero(size):
-        reach = np.concatenate([radius[i] + pp[i, r.cell] + np.array(r.ds) for r in stats])
-        if len(reach) > k:
-            bound[i] = np.partition(reach, k)[k] * (1 + 1e-9) + 1e-12
-    blocks = np.maximum(1, -(-size // block))
-
-    def targets(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for cell, dp in parts:
-            c, d = cell.to_numpy(), dp.to_numpy()
-            low = np.maximum(pp[:, c].T - radius[None, :] - d[:, None], 0.0)
-            # the row also has to respect the query cell's own extent when it sits inside it
-            keep = (low <= bound[None, :]) & (size[None, :] > 0)
-            yield pd.Series([np.flatnonzero(row).tolist() for row in keep])
-
-    send = F.pandas_udf(targets, "array<int>")
-    per_cell = F.array(*[F.lit(int(b)) for b in blocks])
-
-    def salt(tag):
-        return F.pmod(F.xxhash64(F.lit(tag), "id"), F.get(per_cell, F.col("to"))).cast("int")
-
-    # candidates of a cell, counted so that their blocks are bounded too
-    sent = celled.select("id", "x", F.explode(send("cell", "dp")).alias("to"))
-    load = {r["to"]: r["n"] for r in sent.groupBy("to").agg(F.count(F.lit(1)).alias("n")).collect()}
-    c_blocks = F.array(*[F.lit(max(1, -(-load.get(i, 0) // block))) for i in range(n_cells)])
-    q = celled.withColumn("to", F.col("cell")).withColumn("qb", salt("q"))
-    q = q.select("id", "x", "to", "qb", F.explode(F.sequence(F.lit(0), F.get(c_blocks, F.col("to")) - 1)).alias("cb"))
-    s = sent.withColumn("cb", F.pmod(F.xxhash64(F.lit("c"), "id"), F.get(c_blocks, F.col("to"))).cast("int"))
-    s = s.select("id", "x", "to", F.explode(F.sequence(F.lit(0), F.get(per_cell, F.col("to")) - 1)).alias("qb"), "cb")
-
-    def nearest_in_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["id", "neighbour", "distance"]
-        if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names})
-        right = right.sort_values("id")
-        qi, si = left["id"].to_numpy(), right["id"].to_numpy()
-        d = _distances(np.vstack(left["x"].to_numpy()), np.vstack(right["x"].to_numpy()))
-        d[qi[:, None] == si[None, :]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"id": np.repeat(qi, order.shape[1]), "neighbour": si[order].ravel(),
-                            "distance": np.take_along_axis(d, order, axis=1).ravel()})
-        return out[np.isfinite(out["distance"])]
 
-    grid = ["to", "qb", "cb"]
-    local = q.groupBy(*grid).cogroup(s.groupBy(*grid)).applyInPandas(
-        nearest_in_block, "id BIGINT, neighbour BIGINT, distance DOUBLE")
+def _first(found: DataFrame, k: int) -> DataFrame:
+    """The k first by (distance, neighbour) of each id, with their rank."""
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest of ``right`` for every row of ``left``; ties go to the smaller id."""
+    if left.empty or right.empty:
+        return pd.DataFrame({n: [] for n in ("id", "neighbour", "distance")})
+    right = right.sort_values("id")
+    ids, names, x = left["id"].to_numpy(), right["id"].to_numpy(), np.vstack(right["x"].to_numpy())
+    out = []
+    for at in range(0, len(ids), 1024):
+        d = _distances(np.vstack(left["x"].iloc[at:at + 1024].to_numpy()), x)
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out.append(pd.DataFrame({"id": np.repeat(ids[at:at + 1024], order.shape[1]), "neighbour": names[order].ravel(),
+                                 "distance": np.take_along_axis(d, order, axis=1).ravel()}))
+    return pd.concat(out)
+
+
+def knn(df: DataFrame, key: str, vector: str, k: int, *, ball_rows: int = BALL_ROWS, block: int = BLOCK, seed: int = 42,
+        compared: list[int] | None = None) -> DataFrame:
+    """The k nearest other rows of every row: (id, neighbour, distance, rank). Ties go to the smaller id.
+
+    ``compared`` gets the number of pairs of vectors whose distance was taken in each round.
+    """
+    every = cut(df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x")), "points")
+    place = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+    points = cut(every.withColumn("place", place).filter(F.col("place") <= k + 1), "distinct")
+    queries = points.filter("place = 1").select("id", "x")
+    count = queries.count()
+    if not count:
+        return every.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
+    balls = min(MOST_BALLS, max(1, -(-count // ball_rows)))
+    sample = queries.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE_ROWS * balls).collect()  # SAMPLE_ROWS * MOST_BALLS vectors at most
+    centres = _centres(np.array([r.x for r in sample]), balls)
+
+    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                d = _distances(np.vstack(pdf["x"].to_numpy()), centres)
+                ball = d.argmin(axis=1)
+                yield pdf.assign(ball=ball.astype("int32"), far=d[np.arange(len(d)), ball])
+
+    dealt = cut(points.select("id", "x", "place").mapInPandas(deal, "id BIGINT, x ARRAY<DOUBLE>, place INT, ball INT, far DOUBLE"), "balls")
+    radius, size = np.zeros(balls), np.zeros(balls, dtype=np.int64)
+    for r in dealt.groupBy("ball").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # a row for each ball
+        radius[r.ball], size[r.ball] = r.far, r.n
+
+    def visits(own: bool, done: int, step: int):
+        """Balls that each query searches now: its own one, or the next ones in the order of their nearest possible point."""
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                if not len(pdf):
+                    continue
+                ball = pdf["ball"].to_numpy()
+                if own:
+                    row, to = np.arange(len(pdf)), ball
+                else:
+                    low = np.maximum(_distances(np.vstack(pdf["x"].to_numpy()), centres) - radius[None, :], 0)
+                    low[np.arange(len(pdf)), ball] = np.inf
+                    low[:, size == 0] = np.inf
+                    order = np.argsort(low, axis=1, kind="stable")[:, done:done + step]
+                    near = np.take_along_axis(low, order, axis=1) <= pdf["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12
+                    near &= np.isfinite(np.take_along_axis(low, order, axis=1))
+                    row, at = np.nonzero(near)
+                    to = order[row, at]
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "x": pdf["x"].to_numpy()[row], "ball": to.astype("int32")})
+        return run
+
+    def searched(sent: DataFrame, load: dict[int, int], best: DataFrame | None) -> DataFrame:
+        """The best so far and what the queries find in the balls that they are sent to."""
+        if compared is not None:
+            compared.append(int(sum(n * size[ball] for ball, n in load.items())))
+        blocks = F.array(*[F.lit(max(1, -(-load.get(ball, 0) // block))) for ball in range(balls)])
+        q = sent.withColumn("part", F.pmod(F.xxhash64("id"), F.get(blocks, F.col("ball"))).cast("int"))
+        s = dealt.select("id", "x", "ball", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("ball")) - 1)).alias("part"))
+        found = q.groupBy("ball", "part").cogroup(s.groupBy("ball", "part")).applyInPandas(
+            lambda left, right: _search(left, right, k + 1), "id BIGINT, neighbour BIGINT, distance DOUBLE")
+        return cut(_first(found if best is None else best.select("id", "neighbour", "distance").unionAll(found), k + 1), "best")
+
+    def to_visit(state: DataFrame, *which) -> tuple[DataFrame, dict[int, int]]:
+        sent = cut(state.mapInPandas(visits(*which), "id BIGINT, x ARRAY<DOUBLE>, ball INT"), "sent")
+        return sent, {r.ball: r.n for r in sent.groupBy("ball").agg(F.count("*").alias("n")).collect()}  # a row for each ball
+
+    asked = dealt.filter("place = 1").select("id", "x", "ball")
+    best = searched(*to_visit(asked, True, 0, 0), None)
+    done, step = 0, FIRST_BALLS
+    while done < balls - 1:
+        bound = best.groupBy("id").agg(F.when(F.count("*") > k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound"))
+        sent, load = to_visit(asked.join(bound, "id"), False, done, step)
+        if not load:
+            break
+        best = searched(sent, load, best)
+        done, step = done + step, step * 4
+    same = every.join(queries.select(F.col("id").alias("first"), "x"), "x").select("id", "first")
+    others = same.join(best.select(F.col("id").alias("first"), "neighbour", "distance"), "first").filter("neighbour <> id")
+    return _first(others.select("id", "neighbour", "distance"), k)
 
 
 def local_outlier_factor(df: DataFrame, key: str, vector: str, k: int = 20, **kw) -> DataFrame:

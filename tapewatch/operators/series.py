@@ -290,7 +290,23 @@ def cross_products(df: DataFrame, by: Sequence[str], inputs: Sequence[str],
 
     schema = f"{keys}, xx ARRAY<DOUBLE>"
     parts = df.select(*by, *inputs).mapInPandas(partial, schema)
-    return parts.repartition(*by).sortWithinPartitions(*by).mapInPandas(merged, schema)
+    return _spread(parts, by).sortWithinPartitions(*by).mapInPandas(merged, schema)
+
+
+def _spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Deals series to as many tasks as a shuffle has: rows are few and small, but each one means a fit."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _nested_residuals(g: np.ndarray, y: int, xs: list[int]) -> list[float] | None:
+    """Residual sums of y on the first 1, 2, … columns of xs, from one Cholesky factor; None where they are too close to collinear."""
+    a = g[np.ix_([*xs, y], [*xs, y])]
+    scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+    an = a / np.outer(scale, scale)
+    if not np.all(np.isfinite(an)) or np.linalg.cond(an) > 1e12:
+        return None
+    explained = np.cumsum(np.linalg.cholesky(an)[-1, :-1] ** 2)
+    return ((1 - explained) * scale[-1] ** 2).tolist()
 
 
 def _solve(g: np.ndarray, y: int, xs: list[int]) -> tuple[np.ndarray, float, np.ndarray] | None:
@@ -405,12 +421,17 @@ def adf(df: DataFrame, value: str = "close", by: Sequence[str] = BY, order: Sequ
 
             common = base + extra(k_max + 1, limit)
             best = None
+            nested = _nested_residuals(common, 0, list(range(1, limit + 3)))
             for lags in range(limit + 1):
-                fit = _solve(common, 0, list(range(1, lags + 3)))
-                if fit is None or fit[1] <= 0:
+                if nested is None:
+                    fit = _solve(common, 0, list(range(1, lags + 3)))
+                    left = fit[1] if fit else 0.0
+                else:
+                    left = nested[lags + 1]
+                if left <= 0:
                     continue
                 rows = common[1, 1]
-                aic = rows * math.log(fit[1]) + 2 * (lags + 2)
+                aic = rows * math.log(left) + 2 * (lags + 2)
                 if best is None or aic < best[0]:
                     best = (aic, lags)
             if best is None:
@@ -428,7 +449,7 @@ def adf(df: DataFrame, value: str = "close", by: Sequence[str] = BY, order: Sequ
             out.append((tau, _mackinnon_p(tau), lags))
         return pd.DataFrame(out, columns=["statistic", "p_value", "used_lag"])
 
-    j = head.join(n_of, by).join(xx, by, "left")
+    j = _spread(head.join(n_of, by).join(xx, by, "left"), by)
     return j.select(*by, "n", solve("xx", "_head", "n").alias("_r")).select(
         *by, "n", "_r.*", (F.col("_r.p_value") < 0.05).alias("is_stationary"))
 

@@ -47,13 +47,13 @@ def test_identity_columns_are_refused(cloud):
         fo.fit_forest(cloud.withColumn("ticker", F.lit(1.0)), ["x1", "ticker"], "id")
 
 
-@pytest.mark.parametrize("block,pivots", [(40, 4), (2000, 16)])
-def test_neighbours_equal_brute_force(spark, block, pivots):
+@pytest.mark.parametrize("block,ball_rows", [(40, 30), (2000, 1024)])
+def test_neighbours_equal_brute_force(spark, block, ball_rows):
     rng = np.random.default_rng(8)
     # a third of the rows sits in one dense spot, some are exact copies
     x = np.vstack([rng.normal(0, 0.01, (70, 3)), np.zeros((10, 3)), rng.normal(0, 5, (140, 3))])
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id BIGINT, v ARRAY<DOUBLE>")
-    got = lof.knn(df, "id", "v", 6, pivots=pivots, block=block).orderBy("id", "rank").toPandas()
+    got = lof.knn(df, "id", "v", 6, ball_rows=ball_rows, block=block).orderBy("id", "rank").toPandas()
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
     want = np.argsort(d, axis=1, kind="stable")[:, :6]
@@ -62,7 +62,7 @@ def test_neighbours_equal_brute_force(spark, block, pivots):
 
 def test_outlier_factor(cloud):
     x = cloud.withColumn("v", F.array("x1", "x2"))
-    out = lof.fit_flag(x, "id", "v", 20, 0.05, pivots=8, block=100).toPandas()
+    out = lof.fit_flag(x, "id", "v", 20, 0.05, ball_rows=40, block=100).toPandas()
     assert out["lof_score"].between(0, 1).all() and out["lof_flag"].sum() == 16
 
 
@@ -161,3 +161,36 @@ def test_scorecard_is_stored_and_a_broken_forest_does_not_stop_it(spark):
     rows = spark.createDataFrame([(0.0, 50.0), (None, 50.0)], "`return` double, rsi_14d double")
     got = back.detector.predict_proba(rows).select("proba_spoofing", "proba_layering").collect()
     assert [tuple(r) for r in got] == [(0.5, 0.5), (0.5, None)]
+
+
+@pytest.mark.parametrize("ball_rows, block", [(1024, 4096), (20, 7)])
+def test_neighbours_over_many_balls(spark, ball_rows, block):
+    rnd = np.random.default_rng(4)
+    x = np.concatenate([rnd.normal(c, 0.3, (60, 3)) for c in (0, 4, 9)] + [np.round(rnd.uniform(0, 3, (60, 3)), 0), np.ones((40, 3))])
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(3)
+    got = {(r.id, r["rank"]): (r.neighbour, r.distance) for r in lof.knn(frame, "id", "x", 5, ball_rows=ball_rows, block=block).collect()}
+    assert len(got) == 5 * len(x)
+    for i in range(len(x)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        want = sorted((d[j], j) for j in range(len(x)) if j != i)[:5]
+        assert [got[i, r + 1][0] for r in range(5)] == [j for _, j in want] and np.allclose([got[i, r + 1][1] for r in range(5)], [v for v, _ in want])
+
+
+def test_few_rows_have_few_neighbours(spark):
+    rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 3.0]), (3, [0.0, 1.0])], "id long, x array<double>")
+    got = sorted((r.id, r["rank"], r.neighbour, r.distance) for r in lof.knn(rows, "id", "x", 5).collect())
+    assert got == [(1, 1, 3, 0.0), (1, 2, 2, 2.0), (2, 1, 1, 2.0), (2, 2, 3, 2.0), (3, 1, 1, 0.0), (3, 2, 2, 2.0)]
+    assert lof.knn(rows.limit(0), "id", "x", 5).count() == 0
+
+
+def test_compared_pairs_grow_much_slower_than_all_pairs(spark):
+    rnd = np.random.default_rng(6)
+    centre = rnd.uniform(-50, 50, (400, 4))
+    pairs = {}
+    for n in (2_000, 8_000):
+        x = centre[rnd.integers(0, 400, n)] + rnd.normal(0, 0.2, (n, 4))
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+        compared = []
+        lof.knn(frame, "id", "x", 3, ball_rows=50, compared=compared).count()
+        pairs[n] = sum(compared)
+    assert pairs[2_000] < 0.25 * 2_000 ** 2 and pairs[8_000] < 4 ** 1.5 * pairs[2_000], pairs

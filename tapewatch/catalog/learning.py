@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapewatch.catalog import query, sql
-from tapewatch.catalog.scoring import flagged_ticks, scored_ticks, weak_ticks, with_truth
+from tapewatch.catalog.scoring import AUC_SQL, flagged_ticks, scored_ticks, weak_ticks, with_truth
 from tapewatch.catalog.series_windows import bar_features, rounded
 from tapewatch.operators import features as ft
 from tapewatch.operators import forest as fo
-from tapewatch.operators import metrics, models, patterns
+from tapewatch.operators import ensembles, metrics, models, patterns
 from tapewatch.operators import ordered as o
 from tapewatch.schemas import FEATURES, PATTERNS
 from tapewatch.session import cut, workspace
@@ -160,3 +160,48 @@ def combined_vs_per_pattern(spark, d):
 @query("sequence_forecast", "M34 F15 W23 E6")
 def sequence_forecast(spark, d):
     return models.sequence_forecast(t.bars(spark, d).select("symbol", "ts", "close"))
+
+
+# Three small trees over the length of a labelled document, for an exact check.
+STAGE_TREES = [[("n_chars", 900, 0.8, -0.6)], [("rest", 40, 0.3, -0.2)], [("rest", 70, -0.4, 0.5)]]
+STAGE_WEIGHTS, STAGE_START = [1.0, 0.5, 0.25], 0.2
+
+
+def fixed_stages() -> ensembles.Ensemble:
+    names, rows = ["n_chars", "rest"], []
+    for tree, [(feature, split, low, high)] in enumerate(STAGE_TREES):
+        rows += [(tree, 0, names.index(feature), float(split), 1, 2, 0.0), (tree, 1, -1, 0.0, -1, -1, low), (tree, 2, -1, 0.0, -1, -1, high)]
+    nodes = ensembles.pd.DataFrame(rows, columns=["tree", "node", "feature", "split", "left", "right", "value"])
+    return ensembles.Ensemble(names, nodes, STAGE_WEIGHTS, start=STAGE_START)
+
+
+def _stage_sql(k: int) -> str:
+    return " + ".join([f"{STAGE_START}::DOUBLE", *[f"{w}::DOUBLE * CASE WHEN {f} <= {s} THEN {a} ELSE {b} END" for w, [(f, s, a, b)] in zip(STAGE_WEIGHTS[:k], STAGE_TREES)]])
+
+
+@query("staged_probabilities", "M18",
+       f"""WITH doc AS (SELECT quality, n_chars, n_chars % 97 AS rest FROM labels JOIN documents USING (doc_id)),
+       long AS ({' UNION ALL '.join(f"SELECT {k} AS pattern, round(1 / (1 + exp(-({_stage_sql(k)}))), 12) AS score, quality AS label FROM doc" for k in (1, 2, 3))}), {AUC_SQL}
+       SELECT pattern AS stage, n_positive, round(auc, 9) AS auc, round(mean_probability, 9) AS mean_probability FROM auc
+       JOIN (SELECT pattern, avg(score) AS mean_probability FROM long GROUP BY pattern) USING (pattern)""")
+def staged_probabilities(spark, d):
+    x = t.read(spark, d, "labels").join(t.read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("rest", F.col("n_chars") % 97)
+    scores = ensembles.staged_scores(x, fixed_stages(), "quality").withColumn("score", F.round("score", 12))
+    out = ensembles.stage_report(scores)
+    return out.select("stage", "n_positive", F.round("auc", 9).alias("auc"), F.round("mean_probability", 9).alias("mean_probability"))
+
+
+@query("boosting_patience", "M19")
+def boosting_patience(spark, d):
+    """Boosting on document labels, cut at the best held-out AUC with 50 rounds of patience."""
+    text = F.col("text")
+    words = F.size(F.split(F.trim(text), r"\s+"))
+    marks, capitals = (F.length(F.regexp_replace(text, pattern, "")) / (F.length(text) + 1) for pattern in (r"[\p{L}\p{N}\s]", r"[^\p{Lu}]"))
+    names = ["n_chars", "marks", "capitals", "word_length"]
+    x = t.read(spark, d, "documents").join(t.read(spark, d, "labels").filter("quality is not null"), "doc_id").select(
+        "doc_id", F.col("quality").cast("double").alias("label"), F.col("n_chars").cast("double").alias("n_chars"), marks.alias("marks"), capitals.alias("capitals"),
+        (F.length(text) / words).alias("word_length"))
+    x = cut(models.VectorAssembler(inputCols=names, outputCol="features").transform(x.dropna()).select("doc_id", "features", "label"), "rows")
+    held = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(10)) < 3
+    _, _, stop = ensembles.boost_with_patience(x.filter(~held), x.filter(held), names, rounds=80, patience=50)
+    return stop

@@ -194,3 +194,34 @@ def test_compared_pairs_grow_much_slower_than_all_pairs(spark):
         lof.knn(frame, "id", "x", 3, ball_rows=50, compared=compared).count()
         pairs[n] = sum(compared)
     assert pairs[2_000] < 0.25 * 2_000 ** 2 and pairs[8_000] < 4 ** 1.5 * pairs[2_000], pairs
+
+
+def test_staged_margins_and_patience(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from tapewatch.operators import ensembles, models
+
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(300, 3))
+    y = ((x[:, 0] + 0.7 * rnd.normal(size=300)) > 0.3).astype(float)
+    rows = spark.createDataFrame([(i, *map(float, v), float(z)) for i, (v, z) in enumerate(zip(x, y))], "id long, a double, b double, c double, label double")
+    rows = models.VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(rows)
+    train, held = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
+    model = models.boosting(8, depth=2).fit(train)
+    whole = ensembles.from_boosting(model, ["a", "b", "c"], spark)
+    got = ensembles.staged_margins(held, whole).select("margins", "id").collect()
+    last = {r.id: 1 / (1 + np.exp(-2 * r.margins[-1])) for r in got}
+    want = {r.id: float(r.p[1]) for r in model.transform(held).select("id", vector_to_array("probability").alias("p")).collect()}
+    assert len(got[0].margins) == 8 and all(abs(last[i] - want[i]) < 1e-9 for i in want)
+    null = held.limit(1).withColumn("b", F.lit(None).cast("double"))
+    assert ensembles.staged_margins(null, whole).first().margins is None
+    short, report, stop = ensembles.boost_with_patience(train, held, ["a", "b", "c"], rounds=8, patience=2, depth=2)
+    aucs = {r.stage: r.auc for r in report.collect()}
+    best, at, seen = -1.0, 0, 0
+    for stage in range(1, 9):  # the plain rule on the same stages
+        seen = stage
+        if aucs[stage] > best:
+            best, at = aucs[stage], stage
+        if stage - at >= 2:
+            break
+    assert tuple(stop.first()) == (at, best, seen) and len(short.weights) == at

@@ -7,7 +7,7 @@ import pandas as pd
 
 from tapewatch.operators import features as ft
 from tapewatch.schemas import FEATURES
-from tapewatch.streaming.live import window_features
+from tapewatch.streaming.state import window_features
 
 
 def frame(n=400, seed=3):
@@ -48,7 +48,8 @@ def test_single_history_equals_batch(spark):
     s = spark.createDataFrame(df.assign(market="CRYPTO", symbol="A"))
     got = ft.engineered_features(s, order=["ts"]).toPandas().sort_values("ts").iloc[[0, 1, 5, 24, 25, 99]]
     for at, row in zip([0, 1, 5, 24, 25, 99], got[FEATURES].to_numpy(dtype=float)):
-        mine = window_features(df["close"].to_numpy()[:at + 1], df["volume"].to_numpy()[:at + 1])
+        _, rows = window_features(np.arange(at + 1), df["close"].to_numpy()[:at + 1], df["volume"].to_numpy()[:at + 1], np.array([at]))
+        mine = [None if np.isnan(v) else v for v in rows[0]]
         np.testing.assert_allclose(np.array([np.nan if v is None else v for v in mine]), row, rtol=1e-8, atol=1e-9)
 
 

@@ -40,4 +40,4 @@ def load_all() -> dict[str, Query]:
     return REGISTRY
 
 
-MODULES = ["series_windows", "edges", "columns", "desk", "scoring", "timeseries", "learning", "live", "jobs"]
+MODULES = ["series_windows", "edges", "columns", "desk", "scoring", "timeseries", "learning", "trees", "live", "jobs"]

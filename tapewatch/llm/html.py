@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.session import cut
@@ -42,32 +43,83 @@ GOOD = re.compile(r"(?:^|[\s_\-])(?:article|content|main|post|entry|story|text|b
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-#: An element is the container if it holds this share of the page's content; paths with fewer than 1 in 50 of the votes of the first don't win.
+#: An element is the container if it holds this share of the page's content; paths with fewer than 1 in 50 of the host's votes don't win.
 SHARE, LEAST_VOTES = 0.9, 0.02
 #: An article with the page's heading, and a main, need this share only, if other containers don't hold more.
 DECLARED_SHARE = 1 / 3
 
 
 class _Element:
-    __slots__ = ("tag", "name", "parent", "path", "skipped", "link", "heading", "form")
+    """An open tag. What would need a walk up the ancestors is handed down instead, so that deep pages cost linear time.
 
-    def __init__(self, tag: str, name: str, parent: _Element | None, skipped: bool) -> None:
-        self.tag, self.name, self.parent, self.skipped = tag, name, parent, skipped
-        self.link = tag == "a" or (parent is not None and parent.link)
-        self.path = "" if parent is None else f"{parent.path}>{name}" if parent.path else name
-        self.heading = False
-        self.form = self if tag == "form" else parent.form if parent is not None else None
+    ``block``: the nearest element that is not inline; ``scope``: the nearest that ends the search for an open p; ``item``: the nearest
+    that may end the search for an item of its kind; ``path`` numbers the generalised path, ``length`` is its characters.
+    """
 
+    __slots__ = ("tag", "name", "parent", "index", "depth", "path", "length", "skipped", "link", "heading", "form", "article", "block", "scope", "item")
 
-def _name(tag: str, attributes: str, parent: _Element | None) -> tuple[str, bool]:
+    def __init__(self, tag: str, name: str, parent: _Element | None, index: int, path: int, skipped: bool) -> None:
+        self.tag, self.name, self.parent, self.index, self.path, self.skipped = tag, name, parent, index, path, skipped
+        self.heading = False
+        if parent is None:
+            self.depth = self.length = 0
+            self.link = self.article = False
+            self.form = self.scope = self.item = None
+            self.block = self
+            return
+        self.depth = parent.depth + 1
+        self.length = parent.length + (parent.length > 0) + len(name)
+        self.link = tag == "a" or parent.link
+        self.article = tag in ("article", "main") or parent.article
+        self.form = self if tag == "form" else parent.form
+        self.block = parent.block if tag in INLINE else self
+        self.scope = self if tag in SCOPES or tag == "p" else parent.scope
+        self.item = self if tag in SCOPES or tag in SAME else parent.item
+
+    def written_path(self) -> str:
+        names, at = [], self
+        while at.parent is not None:
+            names.append(at.name)
+            at = at.parent
+        return ">".join(reversed(names))
+
+
+class Page:
+    """The elements of a page in page order, parents first, and its text blocks: (element that holds it, text, how much of that is links)."""
+
+    def __init__(self) -> None:
+        self.elements = [_Element("", "", None, 0, 0, False)]
+        self.blocks: list[tuple[_Element, str, int]] = []
+        self._paths: dict[tuple[int, str], int] = {}
+
+    def open(self, tag: str, name: str, parent: _Element, skipped: bool) -> _Element:
+        path = self._paths.setdefault((parent.path, name), len(self._paths) + 1)
+        self.elements.append(_Element(tag, name, parent, len(self.elements), path, skipped))
+        return self.elements[-1]
+
+    def path(self, written: str) -> int | None:
+        """The number of a path; None if the page has none such."""
+        at: int | None = 0
+        for name in written.split(">"):
+            at = self._paths.get((at, name))
+            if at is None:
+                return None
+        return at
+
+    def inside(self, path: int) -> list[str]:
+        """The texts of the blocks in elements of the path."""
+        within = [path == 0] * len(self.elements)
+        for e in self.elements[1:]:
+            within[e.index] = e.path == path or within[e.parent.index]
+        return [t for e, t, _ in self.blocks if within[e.index]]
+
+
+def _name(tag: str, attributes: str, parent: _Element) -> tuple[str, bool]:
     """The generalised name of an element, and whether it is boilerplate."""
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     classes = html.unescape(found.get("class", "")).lower()
-    name = tag + "".join(sorted({"." + re.sub(r"\d+", "#", c) for c in classes.split()}))
-    inside = parent
-    while inside is not None and inside.tag not in ("article", "main"):
-        inside = inside.parent
-    skipped = tag in SKIPPED or (tag == "header" and inside is None)
+    name = (tag + "".join(sorted({"." + re.sub(r"\d+", "#", c) for c in classes.split()}))).replace(">", "&gt;")
+    skipped = tag in SKIPPED or (tag == "header" and not parent.article)
     role = found.get("role", "").lower()
     skipped |= (role in ROLES and (tag, role) != ("form", "form")) or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     skipped |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
@@ -81,53 +133,57 @@ def _name(tag: str, attributes: str, parent: _Element | None) -> tuple[str, bool
     return name, skipped
 
 
-def _kept_forms(found: list[tuple[_Element, str, int]]) -> set[int]:
-    """The forms that hold most of the page's text, as where a form wraps the whole body."""
-    whole, own = 0, {}
-    for owner, text, linked in found:
-        size, form = max(0, len(text) - linked), owner.form
+def _dropped_forms(page: Page) -> set[int]:
+    """The forms that are boilerplate, with those in them: all but forms that hold most of the page's text, as where a form wraps the whole body."""
+    forms = [e for e in page.elements if e.tag == "form"]
+    whole, own = 0, dict.fromkeys((f.index for f in forms), 0)
+    for owner, text, linked in page.blocks:
+        size = max(0, len(text) - linked)
         whole += size
-        while form is not None:
-            own[id(form)] = own.get(id(form), 0) + size
-            form = form.parent.form
-    return {k for k, size in own.items() if 2 * size > whole}
+        if owner.form is not None:
+            own[owner.form.index] += size
+    for form in reversed(forms):
+        if form.parent.form is not None:
+            own[form.parent.form.index] += own[form.index]
+    dropped: set[int] = set()
+    for form in forms:
+        if 2 * own[form.index] <= whole or (form.parent.form is not None and form.parent.form.index in dropped):
+            dropped.add(form.index)
+    return dropped
 
 
-def _in_dropped_form(element: _Element, kept: set[int]) -> bool:
-    form = element.form
-    while form is not None and id(form) in kept:
-        form = form.parent.form
-    return form is not None
-
-
-def blocks(page: str) -> list[tuple[_Element, str, int]]:
-    """The text blocks of a page in page order: the element that holds it, its text, and how much of that is links.
-    White space is single, nothing is empty.
+def parsed(page: str) -> Page:
+    """The elements and text blocks of a page. White space is single, no block is empty.
 
     Elements that open without their end tags, end tags without elements, and markup cut off by the end of the page are
-    taken as browsers take them, as far as blocks and boilerplate need it.
+    taken as browsers take them, as far as blocks and boilerplate need it. Time and memory are linear in the page, however deep it nests.
     """
-    root = _Element("", "", None, False)
-    at, here = 0, root
-    out: list[tuple[_Element, str, int]] = []
+    out = Page()
+    root = here = out.elements[0]
+    at = 0
     text: list[str] = []
     owner, linked = root, 0
     headings: list[_Element] = []
+    opened: Counter[str] = Counter()  # open elements by tag
+
+    def back_to(element: _Element) -> None:
+        nonlocal here
+        while here is not element:
+            opened[here.tag] -= 1
+            here = here.parent
 
     def flush() -> None:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append((owner, whole, linked))
+                out.blocks.append((owner, whole, linked))
             text.clear()
 
     def add(piece: str) -> None:
         nonlocal owner, linked
         if piece and not here.skipped:
             if not text:
-                owner, linked = here, 0
-                while owner.tag in INLINE and owner.parent is not None:
-                    owner = owner.parent
+                owner, linked = here.block, 0
             text.append(piece)
             if here.link:
                 linked += len(piece)
@@ -144,13 +200,12 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
         if not tag or m[4] == "":  # comments, declarations, and a tag that the end of the page cuts off
             continue
         if m[1]:
-            scope = here
-            while scope is not None and scope.tag != tag:
-                scope = scope.parent
             if tag not in INLINE:
                 flush()
-            if scope is not None and scope.parent is not None:
-                here = scope.parent
+            if opened[tag]:
+                while here.tag != tag:
+                    back_to(here.parent)
+                back_to(here.parent)
             elif tag == "br":
                 add(" ")
             continue
@@ -161,76 +216,82 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             continue
         if tag not in INLINE:
             flush()
-            if tag in CLOSES_P:
-                scope = here
-                while scope is not None and scope.tag not in SCOPES and scope.tag != "p":
-                    scope = scope.parent
-                if scope is not None and scope.tag == "p":
-                    here = scope.parent
+            if tag in CLOSES_P and here.scope is not None and here.scope.tag == "p":
+                back_to(here.scope.parent)
             if tag in SAME:
-                scope = here
-                while scope is not None and scope.tag not in SAME[tag] and (scope.tag not in SCOPES or scope.tag in ("td", "th", "tr") and tag == "tr"):
-                    scope = scope.parent
-                while scope is not None and scope.tag in SAME[tag]:
-                    here = scope.parent
-                    scope = here if tag == "tr" and here is not None and here.tag in SAME[tag] else None
+                item = here.item
+                while item is not None and item.tag not in SAME[tag] and item.tag not in SCOPES:
+                    item = item.parent.item
+                while item is not None and item.tag in SAME[tag]:
+                    back_to(item.parent)
+                    item = here if tag == "tr" else None
         if tag in VOID:
             if tag == "br":
                 add(" ")
             continue
         name, skipped = _name(tag, m[3], here)
-        here = _Element(tag, name, here, skipped or here.skipped)
+        here = out.open(tag, name, here, skipped or here.skipped)
+        opened[tag] += 1
         if tag == "h1" and not here.skipped:
             headings.append(here)
     flush()
-    kept = _kept_forms(out)
+    dropped = _dropped_forms(out)
     for heading in headings:
-        scope = None if _in_dropped_form(heading, kept) else heading.parent
-        while scope is not None:
+        scope = None if heading.form is not None and heading.form.index in dropped else heading.parent
+        while scope is not None and not scope.heading:
             scope.heading = True
             scope = scope.parent
-    return [b for b in out if not _in_dropped_form(b[0], kept)]
+    out.blocks = [b for b in out.blocks if b[0].form is None or b[0].form.index not in dropped]
+    return out
 
 
-def choose(found: list[tuple[_Element, str, int]]) -> _Element | None:
+def choose(page: Page) -> _Element | None:
     """The container of a page by its own score; the text of links is no content."""
-    total: dict[int, int] = {}
-    elements: dict[int, _Element] = {}
-    for owner, text, linked in found:
-        size, scope = max(0, len(text) - linked), owner
-        while scope is not None:
-            total[id(scope)] = total.get(id(scope), 0) + size
-            elements[id(scope)] = scope
-            scope = scope.parent
-    if not total:
+    if not page.blocks:
         return None
-    whole = max(total.values())
+    own, held = [0] * len(page.elements), [False] * len(page.elements)
+    for owner, text, linked in page.blocks:
+        own[owner.index] += max(0, len(text) - linked)
+        held[owner.index] = True
+    total = list(own)
+    for e in reversed(page.elements[1:]):
+        total[e.parent.index] += total[e.index]
+        held[e.parent.index] |= held[e.index]
+    whole = total[0]
 
     def elsewhere(element: _Element) -> int:
         """The content in containers that neither hold the element nor lie in it."""
-        above, size = set(), 0
-        scope = element
+        above, contained, size = [False] * len(own), [False] * len(own), 0
+        scope: _Element | None = element
         while scope is not None:
-            above.add(id(scope))
+            above[scope.index] = True
             scope = scope.parent
-        for owner, text, linked in found:
-            scope, contained = owner, False
-            while scope is not None and id(scope) not in above:
-                contained |= scope.tag not in INLINE and scope.tag not in ("p", "h1")
-                scope = scope.parent
-            if scope is not element and contained:
-                size += max(0, len(text) - linked)
+        lies_in = [False] * len(own)
+        lies_in[element.index] = True
+        for e in page.elements[1:]:
+            if above[e.index]:
+                continue
+            lies_in[e.index] = lies_in[e.parent.index]
+            contained[e.index] = not lies_in[e.index] and (contained[e.parent.index] or (e.tag not in INLINE and e.tag not in ("p", "h1")))
+            if contained[e.index]:
+                size += own[e.index]
         return size
 
     def declared(e: _Element) -> bool:
-        size = total[id(e)]
+        size = total[e.index]
         return size >= SHARE * whole or ((e.heading or e.tag == "main") and size >= DECLARED_SHARE * whole and size >= elsewhere(e))
 
-    main = [e for e in elements.values() if e.tag in ("article", "main") and declared(e)]
-    if main:  # the page says itself what its main text is
-        return max(main, key=lambda e: (total[id(e)], len(e.path)))
-    holding = [e for k, e in elements.items() if total[k] >= SHARE * whole and e.tag not in INLINE and e.tag not in ("p", "h1")]
-    best = max(holding, key=lambda e: (len(e.path.split(">")), e.path), default=None)
+    main = [e for e in page.elements if held[e.index] and e.tag in ("article", "main")]
+    for e in sorted(main, key=lambda e: (-total[e.index], -e.length)):
+        if declared(e):  # the page says itself what its main text is
+            return e
+    holding = [e for e in page.elements if held[e.index] and total[e.index] >= SHARE * whole and e.tag not in INLINE and e.tag not in ("p", "h1")]
+    deepest = max((e.depth for e in holding), default=0)
+    first: dict[int, _Element] = {}
+    for e in holding:
+        if e.depth == deepest:
+            first.setdefault(e.path, e)
+    best = max(first.values(), key=_Element.written_path, default=None)
     while best is not None and not best.heading and best.parent is not None and best.parent.tag not in ("", "html", "body"):
         if not best.parent.heading:
             break
@@ -238,36 +299,28 @@ def choose(found: list[tuple[_Element, str, int]]) -> _Element | None:
     return best
 
 
-def _inside(element: _Element, path: str) -> bool:
-    scope: _Element | None = element
-    while scope is not None:
-        if scope.path == path:
-            return True
-        scope = scope.parent
-    return False
-
-
 def extract(page: str, paths: list[str]) -> tuple[str, str]:
     """(text, path): the blocks inside the first of ``paths`` that the page has, else inside its own choice."""
-    found = blocks(page)
-    for path in paths:
-        inside = [t for e, t, _ in found if _inside(e, path)]
+    whole = parsed(page)
+    for written in paths:
+        path = whole.path(written)
+        inside = whole.inside(path) if path is not None else []
         if inside:
-            return "\n".join(inside), path
-    own = choose(found)
+            return "\n".join(inside), written
+    own = choose(whole)
     if own is None:
         return "", ""
-    return "\n".join(t for e, t, _ in found if _inside(e, own.path)), own.path
+    return "\n".join(whole.inside(own.path)), own.written_path()
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, paths = [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = choose(blocks(page or ""))
-            if own is not None and own.path:
+            own = choose(parsed(page or ""))
+            if own is not None and own.parent is not None:
                 hosts.append(host)
-                paths.append(own.path)
+                paths.append(own.written_path())
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "path"])
 
 
@@ -280,11 +333,11 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, paths): the winning container paths of each host, most votes first."""
+    """(host, paths): the winning container paths of each host, most votes first; by the share that a path needs, at most fifty."""
     votes = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_votes, "host string, path string")
-    votes = votes.groupBy("host", "path").agg(F.count("*").alias("votes"))
-    first = F.max("votes").over(Window.partitionBy("host"))
-    won = votes.withColumn("first", first).filter(F.col("votes") >= F.col("first") * LEAST_VOTES)
+    votes = cut(votes.groupBy("host", "path").agg(F.count("*").alias("votes")), "votes")
+    cast = votes.groupBy("host").agg(F.sum("votes").alias("cast"))
+    won = votes.join(cast, "host").filter(F.col("votes") >= F.col("cast") * LEAST_VOTES)
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path")))
     return won.groupBy("host").agg(F.transform(ranked, lambda x: x.path).alias("paths"))
 

@@ -25,6 +25,25 @@ _MARK = re.compile(r"(?<=[A-Za-z\u00e0-\u00f6\u00f8-\u00ff])(?=[.,](?:[ \n]|\Z))
 #: Chunks that are one word of Latin letters, as both kinds of tokenizers leave them.
 _WORD = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _SPACED_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: A chunk that ends with a mark behind a letter, which is a chunk of its own.
+_MARKED = re.compile(r"(.*[A-Za-z\u00e0-\u00f6\u00f8-\u00ff])([.,])", re.S)
+#: White space other than blank and line feed, and the zero byte that stands before a text's first chunk.
+_RARE = [c for c in map(chr, range(0x3001)) if c == "\x00" or (c.isspace() and c not in " \n")]
+_START = "\x00"
+
+
+def _blank_chunks(text: str) -> list[str] | None:
+    """The chunks of a text by the blanks in it, which are left out: each but the first, or one that begins with a line feed, stands for itself
+    with a blank in front. None where white space comes in other runs than one blank or line feeds, or is of another kind."""
+    if "  " in text or " \n" in text or "\n " in text or any(c in text for c in _RARE):
+        return None
+    if "\n" in text:
+        text = text.replace("\n", " \n")
+        while "\n \n" in text:
+            text = text.replace("\n \n", "\n\n")
+    out = text.split(" ")
+    out[0] = _START + out[0]
+    return out
 
 
 def _byte_letters() -> dict[int, str]:
@@ -65,6 +84,7 @@ class Encoder:
         probe = ["the", "of", "tokenizer", "q", "zzxxqy", "internationalisation", "ouneauxtion", "a" * 40, "straße", "éàü", "ñandú", "ÿø"]
         probe += [] if drops_space else [f" {w.title()}" for w in probe]
         self.plain = all(self._ids([w]) == [self._word_ids(w)] for w in probe)
+        self.marks = {m: self._ids([m])[0] for m in ".,"}
         self.place = _Places([])
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = np.zeros(1 << 12, dtype=np.int64)  # ends[k + 1]: end of the k-th chunk's ids
@@ -75,25 +95,58 @@ class Encoder:
 
     def _word_ids(self, word: str) -> list[int]:
         """A word's ids by the library's model alone, without the steps in front of it that leave a word whole."""
-        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_LETTERS))]
+        letters = word.replace(" ", _LETTERS[32]) if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        return [t.id for t in self.tokenizer.model.tokenize(letters)]
+
+    def _written(self, chunk: str) -> str:
+        """A chunk as it stands in the text."""
+        if self.drops_space or chunk[:1] in (" ", "\n"):
+            return chunk
+        return chunk[1:] if chunk[:1] == _START else " " + chunk
+
+    def _parted(self, chunk: str) -> list[str]:
+        m = None if self.drops_space else _MARKED.fullmatch(chunk)
+        return [m[1], m[2]] if m else [chunk]
+
+    def _quick(self) -> list[list[int] | None]:
+        """The ids of new chunks that are an ASCII word behind a blank, perhaps with a mark behind it; None for others."""
+        if self.drops_space or not self.plain:
+            return [None] * len(self.place.new)
+        tokenize, blank, marks = self.tokenizer.model.tokenize, _LETTERS[32], self.marks
+        out: list[list[int] | None] = []
+        for c in self.place.new:
+            if not c.isascii():
+                out.append(None)
+            elif c.isalpha():
+                out.append([t.id for t in tokenize(blank + c)])
+            elif c[-1:] in marks and c[:-1].isalpha():
+                out.append([t.id for t in tokenize(blank + c[:-1])] + marks[c[-1]])
+            else:
+                out.append(None)
+        return out
 
     def _add(self) -> None:
         """Encodes the chunks that were asked for first just now."""
-        chunks, self.place.new = self.place.new, []
-        words = [self.plain and self.word.fullmatch(c) is not None for c in chunks]
-        others = iter(self._ids([c for c, w in zip(chunks, words) if not w]))
-        found = [self._word_ids(c) if w else next(others) for c, w in zip(chunks, words)]
+        quick = self._quick()
+        new, self.place.new = self.place.new, []
+        chunks = [c for c, q in zip(new, quick) if q is None]
+        parts = [self._parted(self._written(c)) for c in chunks]
+        words = [self.plain and self.word.fullmatch(p[0]) is not None for p in parts]
+        asked = dict.fromkeys(c for p, w in zip(parts, words) for c in p[w:])
+        others = dict(zip(asked, self._ids(list(asked))))
+        rest = ([*(self._word_ids(p[0]) if w else ()), *(i for c in p[w:] for i in others[c])] for p, w in zip(parts, words))
+        found = [next(rest) if q is None else q for q in quick]
         sizes = np.array([len(x) for x in found], dtype=np.int64)
-        n = len(self.place) - len(chunks)
+        n = len(self.place) - len(new)
         at = int(self.ends[n])
         while len(self.ids) < at + sizes.sum():
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.ends) < n + len(chunks) + 1:
+        while len(self.ends) < n + len(new) + 1:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
             self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         self.ids[at:at + sizes.sum()] = [i for x in found for i in x]
-        self.ends[n + 1:n + 1 + len(chunks)] = at + np.cumsum(sizes)
-        self.hits[n:n + len(chunks)] = 0
+        self.ends[n + 1:n + 1 + len(new)] = at + np.cumsum(sizes)
+        self.hits[n:n + len(new)] = 0
 
     def _shrink(self) -> None:
         n = len(self.place)
@@ -109,11 +162,16 @@ class Encoder:
         self.hits[:len(names)] = 0
 
     def _chunks(self, text: str) -> list[str]:
+        if not self.drops_space and not any(t in text for t in self.special):
+            quick = _blank_chunks(text)
+            if quick is not None:
+                return quick
         if _OTHER_SPACE.search(text) or any(t in text for t in self.special):
-            return [text]
+            return [text] if self.drops_space else [_START + text]
         if self.drops_space:
             return [x for x in _MARK.sub(" ", text.encode().lower().decode()).replace("\n", " ").split(" ") if x]
-        return _WITH_SPACE.findall(_MARK.sub("\x00", text))
+        found = _WITH_SPACE.findall(_MARK.sub("\x00", text))
+        return [c if c[:1] in (" ", "\n") else _START + c for c in found]
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the n + 1 borders; a null text is empty."""

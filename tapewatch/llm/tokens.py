@@ -100,17 +100,17 @@ class Encoder:
 
     def _written(self, chunk: str) -> str:
         """A chunk as it stands in the text."""
-        if self.drops_space or chunk[:1] in (" ", "\n"):
+        if chunk[:1] in (" ", "\n"):
             return chunk
         return chunk[1:] if chunk[:1] == _START else " " + chunk
 
     def _parted(self, chunk: str) -> list[str]:
-        m = None if self.drops_space else _MARKED.fullmatch(chunk)
+        m = _MARKED.fullmatch(chunk)
         return [m[1], m[2]] if m else [chunk]
 
     def _quick(self) -> list[list[int] | None]:
         """The ids of new chunks that are an ASCII word behind a blank, perhaps with a mark behind it; None for others."""
-        if self.drops_space or not self.plain:
+        if not self.plain:
             return [None] * len(self.place.new)
         tokenize, blank, marks = self.tokenizer.model.tokenize, _LETTERS[32], self.marks
         out: list[list[int] | None] = []
@@ -125,17 +125,26 @@ class Encoder:
                 out.append(None)
         return out
 
-    def _add(self) -> None:
-        """Encodes the chunks that were asked for first just now."""
+    def _spaced(self) -> list[list[int]]:
+        """The ids of new chunks of a tokenizer whose chunks have white space in front."""
         quick = self._quick()
-        new, self.place.new = self.place.new, []
-        chunks = [c for c, q in zip(new, quick) if q is None]
-        parts = [self._parted(self._written(c)) for c in chunks]
+        parts = [self._parted(self._written(c)) for c, q in zip(self.place.new, quick) if q is None]
         words = [self.plain and self.word.fullmatch(p[0]) is not None for p in parts]
         asked = dict.fromkeys(c for p, w in zip(parts, words) for c in p[w:])
         others = dict(zip(asked, self._ids(list(asked))))
         rest = ([*(self._word_ids(p[0]) if w else ()), *(i for c in p[w:] for i in others[c])] for p, w in zip(parts, words))
-        found = [next(rest) if q is None else q for q in quick]
+        return [next(rest) if q is None else q for q in quick]
+
+    def _add(self) -> None:
+        """Encodes the chunks that were asked for first just now."""
+        if self.drops_space:
+            new, self.place.new = self.place.new, []
+            words = [self.plain and self.word.fullmatch(c) is not None for c in new]
+            others = iter(self._ids([c for c, w in zip(new, words) if not w]))
+            found = [self._word_ids(c) if w else next(others) for c, w in zip(new, words)]
+        else:
+            found = self._spaced()
+            new, self.place.new = self.place.new, []
         sizes = np.array([len(x) for x in found], dtype=np.int64)
         n = len(self.place) - len(new)
         at = int(self.ends[n])

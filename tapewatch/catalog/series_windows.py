@@ -19,7 +19,8 @@ def rounded(columns=FEATURES, digits=5):
 
 
 def bar_features(spark, d, **kw):
-    return ft.engineered_features(t.bars(spark, d), order=["ts"], slicing=t.bar_slicing(spark, d), **kw)
+    series, slicing = t.bar_series(spark, d)
+    return ft.engineered_features(series, order=["ts"], slicing=slicing, **kw)
 
 
 @query("tick_features", "W1 W2 W3 W4 W5 W6 W7 W8 W9 W10 W11 W12 W13 W14",
@@ -82,7 +83,8 @@ def trailing_baselines(spark, d):
        SELECT symbol, day_no, CASE WHEN n >= 20 THEN {sql.r("m")} END AS sma, CASE WHEN n >= 20 THEN {sql.r("m + 2 * sd")} END
          AS bollinger_upper, CASE WHEN n >= 20 THEN {sql.r("m - 2 * sd")} END AS bollinger_lower FROM s""")
 def sma_bollinger(spark, d):
-    out = ft.sma_bollinger(t.bars(spark, d), order=["ts"], slicing=t.bar_slicing(spark, d))
+    series, slicing = t.bar_series(spark, d)
+    out = ft.sma_bollinger(series, order=["ts"], slicing=slicing)
     return out.select("symbol", "day_no", *rounded(["sma", "bollinger_upper", "bollinger_lower"]))
 
 

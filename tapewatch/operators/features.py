@@ -36,8 +36,11 @@ def engineered_features(df: DataFrame, *, by: Sequence[str] = BY, order: Sequenc
     ``lookback`` = number of earlier rows OBV and MACD may see; None means from the start of the series.
     """
     by, order = list(by), list(order)
+    source = df
     if slicing == "measure":
-        slicing = o.measure(df, by, order, rows)
+        slicing, size = o.surveyed(df, by, order, rows)
+        if slicing is None:
+            source = o.dealt(df, by, size)
 
     def compute(d: DataFrame, part: list[str], key: list[str]) -> DataFrame:
         w = o.series_window(part, key)
@@ -89,7 +92,7 @@ def engineered_features(df: DataFrame, *, by: Sequence[str] = BY, order: Sequenc
             d = d.withColumn("obv", F.sum("_signed").over(o.trailing_frame(w, lookback)))
         return d.withColumn("macd", F.when(F.col("_pos") >= 26, F.col("_ema12") - F.col("_ema26")))
 
-    out = o.framed(df, by, order, compute, back=max(REACH, lookback or 0), slicing=slicing)
+    out = o.framed(source, by, order, compute, back=max(REACH, lookback or 0), slicing=slicing)
     if lookback is None:
         out = o.running_sum(out, by, order, {"obv": F.col("_signed")}, slicing)
     extra = ["_pos"] if keep_position else []

@@ -10,6 +10,7 @@ behind it) that its frames can reach. The result is the same rows and values eit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 from tapewatch.session import cut
 
 SLICE_ROWS = 1 << 20
+#: Rows that a task gets as a rule where whole groups are dealt to tasks.
+TASK_ROWS = 1 << 18
 #: Distinct values that one task sorts at most, and the bins into which a fuller one is cut at once.
 BIN_ROWS, BIN_WAYS = 1 << 18, 64
 
@@ -47,12 +50,18 @@ def measure(df: DataFrame, by: Sequence[str], order: Sequence[str],
 
     The width is halved until no bucket holds more than a slice, or until it is one unit.
     """
+    return surveyed(df, by, order, rows)[0]
+
+
+def surveyed(df: DataFrame, by: Sequence[str], order: Sequence[str],
+             rows: int = SLICE_ROWS) -> tuple[Slicing | None, int]:
+    """What ``measure`` says, and the number of rows, from the same pass."""
     on = axis(df, order[0])
     groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(on).alias("lo"), F.max(on).alias("hi"))
-    top = groups.agg(F.max("n").alias("n"), F.min("lo").alias("lo"),
+    top = groups.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.sum("n").alias("total"),
                      F.max(F.col("hi") - F.col("lo")).alias("span")).first()
     if top.n is None or top.n <= rows:
-        return None
+        return None, top.total or 0
     pieces = max(2, 4 * -(-top.n // rows))
     width = max(1, top.span // pieces)
     while width > 1:
@@ -61,7 +70,18 @@ def measure(df: DataFrame, by: Sequence[str], order: Sequence[str],
         if fullest <= rows:
             break
         width = max(1, width // max(2, -(-fullest // rows)))
-    return Slicing(rows, int(top.lo), int(width))
+    return Slicing(rows, int(top.lo), int(width)), top.total
+
+
+def dealt(df: DataFrame, by: Sequence[str], size: int) -> DataFrame:
+    """Deals whole groups of ``size`` rows in all to tasks of about ``TASK_ROWS`` rows; a table that fits one task stays as it is.
+
+    A shuffle that Spark plans by itself packs rows by their bytes, and sorted window rows take many times as many.
+    """
+    if size <= TASK_ROWS:
+        return df
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, math.ceil(size / TASK_ROWS)), *by)
 
 
 def _resolve(df, by, order, slicing, rows):

@@ -67,6 +67,16 @@ def bar_slicing(spark: SparkSession, folder: str):
     return measure(lines.select("l_suppkey", F.col("l_shipdate").alias("ts")), ["l_suppkey"], ["ts"])
 
 
+def bar_series(spark: SparkSession, folder: str):
+    """(bars, slicing): bars dealt by symbol to tasks of bounded size, unless a symbol has to be sliced."""
+    from tapewatch.operators.ordered import dealt
+
+    found, slicing = bars(spark, folder), bar_slicing(spark, folder)
+    if slicing is None:
+        found = dealt(found, ["symbol"], read(spark, folder, "lineitem").count())
+    return found, slicing
+
+
 def market_data(spark: SparkSession, folder: str) -> DataFrame:
     """Stored bars of the desk: each tick is a bar with open = high = low = close = price."""
     t = ticks(spark, folder)

@@ -132,3 +132,28 @@ def test_one_outlier_does_not_fill_a_bin(spark):
     assert got == list(range(10_001)) and {r.n_total for r in ranked.collect()} == {10_001, 1}
     q = o.quantiles(rows.filter("g = 'g'"), "v", {"half": 0.5, "top": 0.9999}, rows=100).first()
     assert abs(q.half - 5000 ** 0.5 / 1000) < 1e-12 and abs(q.top - 9999 ** 0.5 / 1000) < 1e-12
+
+
+def test_tasks_of_windows_stay_small(spark, monkeypatch):
+    """Many small groups: the number of tasks follows the rows, whatever the shuffle setting, and no value changes."""
+    rows = spark.range(3000).select(
+        F.col("id").alias("event_id"), F.lit("CRYPTO").alias("market"), F.concat(F.lit("S"), F.col("id") % 100).alias("symbol"),
+        F.timestamp_seconds(F.col("id")).alias("ts"), (100 + F.col("id") * 7 % 13).cast("double").alias("close"), (F.col("id") % 11).cast("double").alias("volume"))
+    plain = ft.engineered_features(rows)
+    expected = plain.toPandas()
+    monkeypatch.setattr(o, "TASK_ROWS", 200)
+    assert o.surveyed(rows, ["symbol"], ["ts"]) == (None, 3000)
+    small = ft.engineered_features(rows)
+    per_task = small.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols")).collect()
+    assert len(per_task) > 4 and sum(r.n for r in per_task) == 3000 and sum(r.symbols for r in per_task) == 100
+    same(small, spark.createDataFrame(expected), ["event_id"])
+
+
+def test_bars_are_dealt_by_their_lines(spark, data, monkeypatch):
+    monkeypatch.setattr(o, "TASK_ROWS", 500)
+    from tapewatch.sources import tables as t
+
+    series, slicing = t.bar_series(spark, data)
+    lines = t.read(spark, data, "lineitem").count()
+    assert slicing is None and series.rdd.getNumPartitions() >= lines / 500
+    same(series, t.bars(spark, data), ["symbol", "ts"])

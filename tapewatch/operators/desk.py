@@ -92,9 +92,15 @@ def with_bars(anomalies: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def case_evidence(cases: DataFrame, links: DataFrame, anomalies: DataFrame, bars: DataFrame) -> DataFrame:
-    """One row per linked anomaly with its bar and its place in the case's timeline."""
-    rows = (links.join(cases, "case_id").join(anomalies, "anomaly_id")
-            .join(bars.select("market_data_id", F.col("ts").alias("bar_ts"), "close", "volume"), "market_data_id"))
+    """One row per linked anomaly with its bar and its place in the case's timeline.
+
+    Links meet anomalies and bars while they are narrow; the case's own columns come last, with the rows already dealt by case.
+    """
+    known = anomalies.join(bars.select("market_data_id", F.col("ts").alias("bar_ts"), "close", "volume"), "market_data_id")
+    rows = links.join(known, "anomaly_id").join(cases, "case_id")
+    first = ["market_data_id", "anomaly_id", "case_id"]
+    named = [c for df in (links, cases, anomalies) for c in df.columns if c not in first]
+    rows = rows.select(*first, *named, "bar_ts", "close", "volume")
     return o.numbered(rows, ["case_id"], ["bar_ts", "anomaly_id"], out="step")
 
 

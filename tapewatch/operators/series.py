@@ -224,7 +224,8 @@ def seasonal_comparison(df: DataFrame, period: int, value: str = "close", by: Se
 
 # --- merged regressions ------------------------------------------------------
 
-FLUSH_SERIES = 20000
+#: Numbers of open sums that a task holds at most, and of whole matrices that it hands on at a time.
+HELD_CELLS = 1 << 23
 
 
 def cross_products(df: DataFrame, by: Sequence[str], inputs: Sequence[str],
@@ -235,6 +236,7 @@ def cross_products(df: DataFrame, by: Sequence[str], inputs: Sequence[str],
     """
     by = list(by)
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields)
+    most = max(1, HELD_CELLS // width ** 2)
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
@@ -254,7 +256,7 @@ def cross_products(df: DataFrame, by: Sequence[str], inputs: Sequence[str],
                 z = design([np.vstack(rows[c].to_numpy()) if rows[c].dtype == object else rows[c].to_numpy(dtype=float)[:, None]
                             for c in inputs])
                 sums[key] = sums.get(key, 0) + z.T @ z
-            if len(sums) > FLUSH_SERIES:
+            if len(sums) > most:
                 yield from flush()
         yield from flush()
 
@@ -283,8 +285,8 @@ def cross_products(df: DataFrame, by: Sequence[str], inputs: Sequence[str],
                     sums.append(total)
                     total = None
                 key, total = names[at], own if total is None else total + own
-            if keys:
-                yield whole(keys, sums)
+            for a in range(0, len(keys), most):
+                yield whole(keys[a:a + most], sums[a:a + most])
         if key is not None:
             yield whole([key], [total])
 

@@ -153,3 +153,15 @@ def test_folds_never_look_ahead(table):
     for _, g in f.groupby("symbol"):
         g = g.assign(fold=g["fold"].fillna(-1)).sort_values("fold")
         assert (g["lo"].to_numpy()[1:] > g["hi"].to_numpy()[:-1]).all() and g["n"].sum() == len(SERIES[_])
+
+
+def test_cross_products_hold_few_series_at_a_time(spark, monkeypatch):
+    rows = spark.range(600).select(F.concat(F.lit("S"), F.col("id") % 40).alias("symbol"), (F.col("id") % 17).cast("double").alias("v"))
+
+    def sums():
+        xx = se.cross_products(rows, ["symbol"], ["v"], lambda c: np.column_stack([c[0], np.ones(len(c[0]))]), 2)
+        return {r.symbol: r.xx for r in xx.collect()}
+
+    whole = sums()
+    monkeypatch.setattr(se, "HELD_CELLS", 8)  # two series
+    assert sums() == whole and len(whole) == 40

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tapewatch.llm import graphs, html, jaccard, mixing, packing, pii, quality, token_files, warc
+from tapewatch.llm import graphs, html, jaccard, mixing, packing, pii, quality, substrings, token_files, warc
 from tapewatch.llm.base import components
 from tapewatch.llm.jaccard import jaccard_join
 from tapewatch.llm.substrings import remove_repeated
@@ -416,6 +416,26 @@ def test_repeated_substrings(spark, crowd):
     assert got == brute_substrings(texts, 400)
 
 
+def test_repeated_windows_are_sorted_in_bounded_shares(monkeypatch):
+    rng = random.Random(6)
+    near, far = (np.array(x) for x in zip(*((a, a + rng.randrange(90)) for a in (rng.randrange(40) for _ in range(60)))))
+    text = bytes(rng.randrange(97, 123) for _ in range(400))
+    around = [text[200 - f:400 - n] for n, f in zip(near.tolist(), far.tolist())]
+    around = [a if i % 3 else a[:-(1 + i)] + b"#" * (1 + i) for i, a in enumerate(around)]
+    group, often = np.array([i % 4 for i in range(60)]), np.ones(60)
+    where = {}
+    for i, (a, n, f) in enumerate(zip(around, near.tolist(), far.tolist())):
+        for d in range(n, f + 1):
+            where.setdefault((i % 4, d, a[f - d:f - d + 200]), []).append(i)
+    wanted = [[d for (_, d, _), found in where.items() if i in found and len(found) > 1] for i in range(60)]
+    sizes, sort = [], substrings._Sorter.sort
+    monkeypatch.setattr(substrings._Sorter, "sort", lambda self, start, bucket: sizes.append(len(start)) or sort(self, start, bucket))
+    monkeypatch.setattr(substrings, "WINDOWS", 100, raising=False)
+    low, high = substrings.repeated(around, near, far, group, often, 200)
+    assert max(sizes) <= 100 and sum(sizes) == int((far - near + 1).sum())
+    assert [(x, y) for x, y in zip(low.tolist(), high.tolist())] == [(min(w), max(w)) if w else (-1, -1) for w in wanted]
+
+
 def test_repeated_substrings_of_odd_rows(spark):
     assert remove_repeated(odd(spark)).count() == len(ODD) and remove_repeated(none(spark)).collect() == []
 

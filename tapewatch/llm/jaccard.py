@@ -32,6 +32,8 @@ from tapewatch.session import cut
 
 #: Largest load of a cell that one task joins: shingles, and as many again as ROW for each document.
 CELL_LOAD, ROW = 4_000_000, 1_000
+#: Bytes of text whose shingles a task holds at a time; postings that it ties at a time, about.
+PIECE, POSTINGS = 1 << 18, 1 << 17
 PIVOTS = 16
 _CLASSES: dict[tuple[int, int], list[int]] = {}
 
@@ -99,7 +101,7 @@ def _prints(sets: np.ndarray, borders: np.ndarray) -> np.ndarray:
 
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, PIECE):
             sets, borders = shingle_sets(*byte_views(batch.column(1)), words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(borders)), _signed(_prints(sets, borders))], ["id", "n", "print"])
@@ -109,7 +111,7 @@ def _signatures(words: int):
 def _postings(words: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task posts equal sets once, so copies add no more rows to a key than there are tasks
-        for batch in pieces(batches, 0):
+        for batch in pieces(batches, 0, PIECE):
             sets, borders = shingle_sets(*byte_views(batch.column(0)), words)
             marks = _prints(sets, borders)
             new = np.array([not (m in seen or seen.add(m)) for m in marks.tolist()], dtype=bool)
@@ -124,19 +126,25 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     if not parts:
         return
-    key, mark = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((mark, key))
-    key, mark = key[order], mark[order]
-    first = np.ones(len(key), dtype=bool)
-    first[1:] = key[1:] != key[:-1]
-    low = mark[first][np.cumsum(first) - 1]
-    pairs = np.unique(np.stack([mark, low])[:, mark != low], axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+    keys, marks = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    shares = -(-len(keys) // POSTINGS)
+    share = (mix(keys.view(np.uint64)) % np.uint64(shares)).astype(np.int32)
+    for k in range(shares):
+        own = np.flatnonzero(share == k)
+        key, mark = keys[own], marks[own]
+        order = np.lexsort((mark, key))
+        key, mark = key[order], mark[order]
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = key[1:] != key[:-1]
+        low = mark[first][np.cumsum(first) - 1]
+        pairs = np.unique(np.stack([mark, low])[:, mark != low], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, PIECE):
             sets, borders = shingle_sets(*byte_views(batch.column(1)), words)
             same = np.flatnonzero(_prints(sets, borders).view(np.int64) == batch.column(0).to_numpy())
             raw = [sets[borders[r]:borders[r + 1]].tobytes() for r in same.tolist()]
@@ -154,7 +162,7 @@ def _named(cell: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(print, name) of every shingle of (cell, print, shingles)."""
-    for batch in pieces(batches, 2):
+    for batch in pieces(batches, 2, PIECE):
         raw, borders = byte_views(batch.column(2))
         row = np.repeat(np.arange(batch.num_rows), np.diff(borders) // 8)
         name = _named(batch.column(0).to_numpy()[row], np.frombuffer(raw.tobytes(), dtype=np.uint64))

@@ -416,6 +416,21 @@ def test_repeated_substrings(spark, crowd):
     assert got == brute_substrings(texts, 400)
 
 
+def test_postings_are_tied_in_bounded_shares(monkeypatch):
+    rng = np.random.default_rng(3)
+    key, mark = rng.integers(-(1 << 62), 1 << 62, 900)[rng.integers(0, 900, 4000)], rng.integers(-50, 50, 4000)
+    batches = [jaccard.pa.RecordBatch.from_arrays([jaccard.pa.array(key[a:a + 700]), jaccard.pa.array(mark[a:a + 700])], ["key", "print"]) for a in range(0, 4000, 700)]
+    low = {}
+    for k, m in zip(key.tolist(), mark.tolist()):
+        low[k] = min(m, low.get(k, m))
+    wanted = {(m, low[k]) for k, m in zip(key.tolist(), mark.tolist()) if m != low[k]}
+    sizes, sort = [], np.lexsort
+    monkeypatch.setattr(jaccard.np, "lexsort", lambda by: sizes.append(len(by[0])) or sort(by))
+    monkeypatch.setattr(jaccard, "POSTINGS", 500, raising=False)
+    got = {(a, b) for out in jaccard._shared(iter(batches)) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    assert got == wanted and sum(sizes) == 4000 and max(sizes) < 1000
+
+
 def test_repeated_windows_are_sorted_in_bounded_shares(monkeypatch):
     rng = random.Random(6)
     near, far = (np.array(x) for x in zip(*((a, a + rng.randrange(90)) for a in (rng.randrange(40) for _ in range(60)))))

@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewatch.llm.base import byte_views, components, mix, only_members, pieces, shingle_sets, smallest_reachable
-from tapewatch.session import cut
+from tapewatch.session import cut, discard, scratch
 
 #: Largest load of a cell that one task joins: shingles, and as many again as ROW for each document.
 CELL_LOAD, ROW = 4_000_000, 1_000
 #: Bytes of text whose shingles a task holds at a time; postings that it ties at a time, about.
 PIECE, POSTINGS = 1 << 18, 1 << 17
 PIVOTS = 16
+#: Shares of the shingle names that are shuffled one after the other; only names that several sets have are kept of each.
+NAME_SHARES = 4
 _CLASSES: dict[tuple[int, int], list[int]] = {}
 
 
@@ -160,13 +162,16 @@ def _named(cell: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return mix(shingles + mix(cell.view(np.uint64) + np.uint64(0x8CB92BA72F3D8DD7)))
 
 
-def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(print, name) of every shingle of (cell, print, shingles)."""
-    for batch in pieces(batches, 2, PIECE):
-        raw, borders = byte_views(batch.column(2))
-        row = np.repeat(np.arange(batch.num_rows), np.diff(borders) // 8)
-        name = _named(batch.column(0).to_numpy()[row], np.frombuffer(raw.tobytes(), dtype=np.uint64))
-        yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row)), _signed(name)], ["print", "name"])
+def _names(share: int):
+    """(print, name) of every shingle of (cell, print, shingles) whose name is of the share."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2, PIECE):
+            raw, borders = byte_views(batch.column(2))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(borders) // 8)
+            name = _named(batch.column(0).to_numpy()[row], np.frombuffer(raw.tobytes(), dtype=np.uint64))
+            own = np.flatnonzero(name % np.uint64(NAME_SHARES) == share)
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row[own])), _signed(name[own])], ["print", "name"])
+    return run
 
 
 def _rare_links(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -174,9 +179,11 @@ def _rare_links(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     A set posts its ``n - ceil(t n) + 1`` rarest shingles; those that no other set of the cell has come first and need no post.
     """
-    names = rows.select("cell", "print", "shingles").mapInArrow(_names, "print long, name long")
-    often = names.groupBy("name").agg(F.count("*").alias("often")).filter("often > 1")
-    shared = names.join(often, "name")
+    often, shared = F.count("*").over(Window.partitionBy("name")), None
+    for share in range(NAME_SHARES):
+        names = rows.select("cell", "print", "shingles").mapInArrow(_names(share), "print long, name long")
+        part = cut(names.withColumn("often", often).filter("often > 1"), "shared")
+        shared = part if shared is None else shared.unionAll(part)
     inner = Window.partitionBy("print")
     shared = shared.withColumn("place", F.row_number().over(inner.orderBy("often", "name"))).withColumn("own", F.count("*").over(inner))
     left = F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den))) + 1 - (F.col("n") - F.col("own"))
@@ -400,12 +407,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     regions = components(near)
     chosen = cut(regions.withColumnRenamed("node", "print").join(classes, "print"), "chosen")
     chosen = chosen.withColumnRenamed("low", "id")
-    texts = only_members(rows.filter("id is not null"), chosen, "id").join(chosen, "id").select("print", "text", F.col("label").alias("cell"), "copies")
-    cells = cut(texts.mapInArrow(_sets(words), _CELLS), "cells")
-    cells = _split(_part(cells, num, den, cell_load), num, den, cell_load)
+    with scratch() as held:  # the shingle sets, which only the join of the cells reads
+        texts = only_members(rows.filter("id is not null"), chosen, "id").join(chosen, "id").select("print", "text", F.col("label").alias("cell"), "copies")
+        cells = cut(texts.mapInArrow(_sets(words), _CELLS), "cells")
+        cells = _split(_part(cells, num, den, cell_load), num, den, cell_load)
     joined = (cells.repartition("cell").sortWithinPartitions("cell")
               .mapInArrow(_join_cells(num, den), "print long, root long, links long"))
     joined = cut(joined, "joined")
+    discard(docs.sparkSession, held)
     tied = components(joined.filter("print <> root").select("print", "root")).withColumnRenamed("node", "print")
     links = joined.groupBy("print").agg(F.sum("links").alias("links"))
     whole = classes.join(tied, "print", "left").join(links, "print", "left")

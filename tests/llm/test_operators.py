@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -18,7 +20,7 @@ from tapewatch.llm.base import components
 from tapewatch.llm.jaccard import jaccard_join
 from tapewatch.llm.substrings import remove_repeated
 from tapewatch.llm.tokens import Encoder
-from tapewatch.session import workspace
+from tapewatch.session import cut, scratch, workspace
 
 ODD = [(1, None, None), (2, "", "a"), (None, "one two three four five six", "a"), (4, " \n\t ", None), (5, "wörd", "b"), (5, "wörd", "b"),
        (6, "x " * 3000, ""), (7, "one two three four five six", "a"), (8, "One TWO three four five six", "b")]
@@ -119,6 +121,31 @@ def test_split_cells_count_each_link_once(spark, bound, partitions):
     assert got == want
 
 
+def test_disk_is_given_back_before_the_join_ends(spark):
+    """Shuffles of a written table and the shingle sets of joined cells go at once, names are shuffled a share at a time."""
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (files.apply(k) for k in range(files.size())) if f.getName().endswith(".data")}
+
+    before = shuffles()
+    cut(spark.range(1000).repartition(7, "id"), "dealt")
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+
+    rows = [(k, " ".join(f"w{(k // 3) * 50 + j + (j > 30) * (k % 3)}" for j in range(40))) for k in range(60)]
+    with scratch() as made:
+        links = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), words=2, threshold=(1, 2), cell_load=8_000)
+    kept = {name.name for folder in made for name in pathlib.Path(folder).glob("*")}
+    assert "joined" in kept and not kept & {"cells", "parted", "posts", "shared"}
+    assert sorted((tuple(r) for r in links.collect()), key=repr) == brute_join(rows, 2, 1, 2)
+    sets = [row for k in range(jaccard.NAME_SHARES) for b in jaccard._names(k)(iter([jaccard.pa.RecordBatch.from_arrays(
+        [jaccard.pa.array([5]), jaccard.pa.array([9]), jaccard.pa.array([np.arange(100, dtype=np.uint64).tobytes()])], ["cell", "print", "shingles"])])) for row in b.column(1).to_pylist()]
+    assert len(sets) == len(set(sets)) == 100
+
+
 def test_jaccard_join_of_odd_rows(spark):
     rows = [(r[0], r[1]) for r in ODD]
     assert sorted((tuple(r) for r in jaccard_join(odd(spark)).collect()), key=repr) == brute_join(rows, 5, 4, 5)

@@ -278,3 +278,49 @@ def test_the_sieve_keeps_every_near_pair():
             r, c = lof._sieve(a, b, bound, 7)
             near = {(i, j) for i in range(50) for j in np.argsort(d[i], kind="stable")[:7] if d[i, j] <= bound[i]}
             assert near <= set(zip(r.tolist(), c.tolist())) and len(r) < 50 * 20
+
+
+def test_forest_of_packed_rows(spark):
+    """Counts of one open node equal plain sums, the forest learns a rule, survives saving, and caches no row."""
+    from tapewatch.operators import bagging, models
+    from tapewatch.session import workspace
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 4))
+    y = ((x[:, 1] > 0.3) & (x[:, 3] < 0.8)).astype(int)
+    rows = spark.createDataFrame([(i, *map(float, v), int(z)) for i, (v, z) in enumerate(zip(x, y))], "id long, a double, b double, c double, d double, y int")
+    rows = models.prepared(rows, ["a", "b", "c", "d"], "y", keep=["id"])
+    train, test = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
+    m = models.random_forest(30, depth=4).fit(train)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    scored = models.probability(m, test).collect()
+    assert metrics.auc(models.probability(m, test)).first().auc > 0.99 and m.importances[[1, 3]].sum() > 0.9
+    path = f"{workspace(spark)}/forest"
+    m.save(path)
+    back = bagging.ForestModel.load(path)
+    assert [r.score for r in models.probability(back, test).collect()] == [r.score for r in scored]
+
+    times = np.concatenate([bagging.times_drawn(50_000, 1, t, 0, 0) for t in range(4)])
+    assert abs(times.mean() - 1) < 0.02 and abs((times == 0).mean() - np.exp(-1)) < 0.01
+    bins, w = rng.integers(0, 5, (2, 500)).astype(np.uint8), rng.random(500)
+    block = bagging.pa.RecordBatch.from_arrays([bagging.pa.array([v]) for v in (7, 0, bins.tobytes(), y[:500].astype(np.uint8).tobytes(), w.tobytes())],
+                                               ["part", "number", "bins", "y", "w"])
+    empty = (np.full((1, 3), -1), np.full((1, 3), bagging.BINS))
+    [got] = bagging._counted(iter([block]), empty, [np.array([[1, 0]])], np.array([[0, -1, -1]]), 0, 42)
+    sums = np.frombuffer(got.column(1)[0].as_py()).reshape(1, 2, bagging.BINS, 2)
+    drawn = bagging.times_drawn(500, 42, 0, 7, 0) * w
+    for j, f in enumerate((1, 0)):
+        for b in range(5):
+            for label in (0, 1):
+                assert abs(sums[0, j, b, label] - drawn[(bins[f] == b) & (y[:500] == label)].sum()) < 1e-9
+    split = bagging._splits([np.array([[0, 1]])], [np.array([0])])(pd.DataFrame({"tree": [0], "sums": [sums.tobytes()]})).iloc[0]
+    best = -1
+    for f in (1, 0):
+        for b in range(4):
+            left = bins[f] <= b
+            gini = [2 * p * (1 - p) * s for s, p in ((drawn[side].sum(), np.average(y[:500][side], weights=drawn[side])) for side in (left, ~left))]
+            p = np.average(y[:500], weights=drawn)
+            best = max(best, 2 * p * (1 - p) - sum(gini) / drawn.sum())
+    assert abs(split["gain"] - best) < 1e-9
+    pure = models.random_forest(3).fit(train.withColumn("label", F.lit(1.0)))
+    assert {r.score for r in models.probability(pure, test).collect()} == {1.0}
